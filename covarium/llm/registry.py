@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from covarium.llm import decontam, exact_dedup, secret_scan, simhash
+from covarium.llm import decontam, exact_dedup, language_id, merkle, packing, secret_scan, simhash, suffix_dedup, toxicity, url_filter
 from covarium.llm.base import table
 
 
@@ -12,6 +12,23 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op2_merkle_fixity(spark, sf_dir):
+    """Archives made of all pages, against a replica that lost some records and has others altered."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    first = merkle.index(pages)
+    altered = F.sha2(F.concat(F.lit("altered"), "sha256"), 256)
+    second = first.where(~F.coalesce(F.col("page_id") % 211 == 5, F.lit(False))).withColumn("sha256", F.when(F.col("page_id") % 101 == 7, altered).otherwise(F.col("sha256")))
+    return merkle.audit(first, second)
+
+
+def op3_best_fit_packing(spark, sf_dir):
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark, sf_dir):
     return simhash.near_classes(table(spark, sf_dir, "documents"))
 
@@ -20,11 +37,28 @@ def op6_secret_scan(spark, sf_dir):
     return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, *toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language_id.languages(docs, language_id.train(docs))
+
+
 def op9_decontamination(spark, sf_dir):
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_simhash, op6_secret_scan, op9_decontamination)}
+def op10_url_filter(spark, sf_dir):
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_exact_dedup, op2_merkle_fixity, op3_best_fit_packing, op4_suffix_dedup, op5_simhash,
+    op6_secret_scan, op7_toxicity, op8_language_id, op9_decontamination, op10_url_filter,
+)}
 
 _LOW = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -34,4 +68,19 @@ ORACLE_SQL = {
              g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS n FROM d GROUP BY h)
         SELECT d.doc_id, g.keep_id, CAST(g.n AS BIGINT) AS group_size, d.doc_id = g.keep_id AS kept, d.h AS text_sha256
         FROM d JOIN g USING (h)""",
+    "op2_merkle_fixity": """
+        WITH t AS (
+          SELECT page_id, CAST(floor(page_id / 1000) AS BIGINT) AS archive,
+                 concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', page_id, '>', chr(13), chr(10),
+                        'WARC-Target-URI: ', coalesce(url, ''), chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10), 'Content-Length: ',
+                        strlen(coalesce(html, '')), chr(13), chr(10), chr(13), chr(10), coalesce(html, ''), chr(13), chr(10), chr(13), chr(10)) AS rec
+          FROM pages),
+        r AS (
+          SELECT archive, page_id, CAST(strlen(rec) AS BIGINT) AS length, sha256(rec) AS a,
+                 CAST(coalesce(sum(strlen(rec)) OVER (PARTITION BY archive ORDER BY page_id, sha256(rec) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+          FROM t)
+        SELECT archive, "offset", length, page_id, a AS sha256_a,
+               CASE WHEN page_id % 211 = 5 THEN NULL WHEN page_id % 101 = 7 THEN sha256('altered' || a) ELSE a END AS sha256_b,
+               CASE WHEN page_id % 211 = 5 THEN 'missing' WHEN page_id % 101 = 7 THEN 'corrupt' ELSE 'ok' END AS status
+        FROM r""",
 }
