@@ -1,0 +1 @@
+"""The reference has no streams, so there are no streaming operators; finished trials are windowed in ``operators.covariance``."""
