@@ -34,8 +34,11 @@ ORDINARY = r"[A-Za-z][A-Za-z0-9_-]{5,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 #: Identifiers are learnt from at most so many documents, those whose ids hash lowest.
 SAMPLE_DOCS = 2000
+#: Random strings are learnt from the distinct values of at most so many characters that the base rules find.
+SAMPLE_CHARS = 256
 #: Least log-likelihood ratio per character, in nats.
 MARGIN = 0.3
+MASS = 16.0
 _KINDS = [k for k, *_ in BASE] + [MARKOV]
 
 
@@ -58,13 +61,21 @@ def _pairs(tokens: DataFrame) -> DataFrame:
 
 
 def train(random: DataFrame, ordinary: DataFrame) -> list[float]:
-    """log P(b | a, random) - log P(b | a, ordinary) at a * (|ALPHABET| + 1) + b; add-one smoothing.  Each sample has a column x_token."""
+    """log P(b | a, random) - log P(b | a, ordinary) at a * (|ALPHABET| + 1) + b.  Each sample has a column x_token.
+
+    Pairs are smoothed by MASS times the character's own frequency, so characters that
+    identifiers hardly hold count after any other.
+    """
     k = len(ALPHABET) + 1
     tables = []
     for sample in (random, ordinary):
         seen = {(r.a, r.b): r["count"] for r in _pairs(sample).collect()}  # at most k * k rows
-        rows = [sum(seen.get((a, b), 0) for b in range(k)) for a in range(k)]
-        tables.append([math.log((seen.get((a, b), 0) + 1) / (rows[a] + k)) for a in range(k) for b in range(k)])
+        before, each, n = [0] * k, [0] * k, sum(seen.values())
+        for (a, b), c in seen.items():
+            before[a] += c
+            each[b] += c
+        alone = [(c + 0.5) / (n + 0.5 * k) for c in each]
+        tables.append([math.log((seen.get((a, b), 0) + MASS * alone[b]) / (before[a] + MASS)) for a in range(k) for b in range(k)])
     return [x - y for x, y in zip(*tables)]
 
 
@@ -106,7 +117,8 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
     for _, rx, *_ in BASE:
         words = words.withColumn("x_text", F.regexp_replace("x_text", rx, " "))
     words = words.select(F.explode_outer(F.regexp_extract_all(F.col("x_text"), F.lit(ORDINARY), F.lit(0))).alias("x_token"))
-    model = train(hits.where(f"kind < {len(BASE)} and ok").select(F.col("value").alias("x_token")), words)
+    values = hits.where(f"kind < {len(BASE)} and ok and char_length(value) <= {SAMPLE_CHARS}").select(F.col("value").alias("x_token")).distinct()
+    model = train(values, words)
 
     odd = hits.where(f"kind < {len(BASE)}").unionByName(hits.where(f"kind = {len(BASE)}").withColumn("ok", _ratio(F.col("value"), model) > margin))
     spans = F.sort_array(F.collect_list(F.struct("start", "kind", "end")))
@@ -122,5 +134,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
         names = F.array(*[F.lit(k) for k in _KINDS])
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    number = [F.size(F.filter("x_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, (name, *_) in enumerate(BASE)]
-    return met.select(F.col("x_id").alias(id_col), *number, F.sha2(joined(F.col("x_base")), 256).alias("base_sha256"), joined(kept).alias("spans"))
+    def number(kind):
+        return F.size(F.filter("x_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{_KINDS[kind]}")
+
+    return met.select(F.col("x_id").alias(id_col), *map(number, range(len(BASE))), F.sha2(joined(F.col("x_base")), 256).alias("base_sha256"), joined(kept).alias("spans"))
