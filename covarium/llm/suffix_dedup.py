@@ -124,6 +124,21 @@ def _blocks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return long[of], lo - base, hi - base, p - base, core.view(np.int64), whole.view(np.int64)
 
 
+def _sorted_places(key: np.ndarray) -> np.ndarray:
+    """Places of a stable sort of non-negative integers.
+
+    Where key and place fit 64 bits together, their combinations are sorted as plain
+    numbers, which is several times as fast as a stable indirect sort.
+    """
+    n = len(key)
+    shift = max(1, int(n).bit_length())
+    if not n or int(key.max()).bit_length() + shift > 64:
+        return np.argsort(key, kind="stable")
+    both = (key.astype(np.uint64) << np.uint64(shift)) | np.arange(n, dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64((1 << shift) - 1)).astype(np.int64)
+
+
 def merged_runs(texts: list[bytes], shards: int = SHARDS) -> list[np.ndarray]:
     """For each block, which of its starts (0 .. len - SPAN) begin a string that another start in ``texts`` begins too.
 
@@ -149,7 +164,10 @@ def classes(texts: list[bytes], shards: int = SHARDS) -> tuple[np.ndarray, np.nd
         of = np.repeat(np.arange(len(texts)), per)
         at = np.arange(first[-1]) - first[of]
         q = begin[of] + at
-        symbol = np.unique(roll.of(q, q + STEP), return_inverse=True)[1].astype(np.int64)
+        raw = roll.of(q, q + STEP)
+        order = np.argsort(raw)
+        symbol = np.empty(len(raw), np.int64)
+        symbol[order] = np.cumsum(np.r_[0, raw[order][1:] != raw[order][:-1]])[: len(raw)]
     n = len(q)
     ends = STEP * len(texts)  # one end for each of a block's STEP interleaved strings
     is_last = at + STEP >= per[of]
@@ -171,8 +189,9 @@ def classes(texts: list[bytes], shards: int = SHARDS) -> tuple[np.ndarray, np.nd
         long = max((len(texts[i]) for i in range(s, len(texts), shards)), default=0)
         span = 1
         while True:
-            key = (r.astype(np.uint64) << np.uint64(32)) | r[to].astype(np.uint64)
-            order = np.argsort(key, kind="stable")
+            low = int(r.max()).bit_length() if len(r) else 1
+            key = (r << low) | r[to]
+            order = _sorted_places(key)
             r = np.empty(len(own), np.int64)
             if len(own):
                 r[order] = np.cumsum(np.r_[0, key[order][1:] != key[order][:-1]])
@@ -192,7 +211,7 @@ def classes(texts: list[bytes], shards: int = SHARDS) -> tuple[np.ndarray, np.nd
         for s in range(shards):
             letter[lane == s] = letters[s]
         some = np.flatnonzero(letter >= 0)
-        some = some[np.argsort(letter[some], kind="stable")]
+        some = some[_sorted_places(letter[some])]
         moved, was = letter[some], group[some]
         new = np.r_[True, (moved[1:] != moved[:-1]) | (was[1:] != was[:-1])] if len(some) else np.zeros(0, bool)
         lane = np.r_[top, lane[some]]
