@@ -18,9 +18,10 @@ A byte goes if a string of SPAN bytes that covers it also starts elsewhere.
     for each symbol of depth moves the shard numbers to the order of longer
     prefixes.  Suffixes are not sorted again and not looked at.  Runs whose common
     prefix reaches SPAN bytes are the repeated intervals.
-4.  A core with more blocks than a task should hold is dealt over tasks; strings
+4.  A core with more blocks than a task should hold is dealt over tasks.  Strings
     that repeat within none of them, and one of each that does, are matched over
-    tasks by their hashes.
+    tasks: first bands of BAND starts by a hash of the bytes that all their strings
+    share, then, only in bands that meet another, the strings by theirs.
 
 Texts are moved twice: to fetch the blocks of step 3, and to cut the result.
 """
@@ -48,6 +49,7 @@ CHUNK = 1 << 21
 BATCH = 1 << 20
 #: Blocks of one core that one task indexes together.
 BLOCKS = 1500
+BAND = 32
 _POS = np.uint64(0xFFFFFF)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -233,15 +235,15 @@ def _bytes(texts) -> list[bytes]:
 def _scan(batches):
     for b in batches:
         i, lo, hi, p, core, whole = blocks(_bytes(b["x_text"]))
-        yield pd.DataFrame({"x_id": b["x_id"].to_numpy()[i], "x_sig": b["x_sig"].to_numpy()[i], "x_lo": lo, "x_n": (hi - lo).astype(np.int32), "core": core, "whole": whole})
+        yield pd.DataFrame({"x_id": b["x_id"].to_numpy()[i], "x_sig": b["x_sig"].to_numpy()[i], "x_lo": lo, "x_n": (hi - lo).astype(np.int32), "x_p": (p - lo).astype(np.int32), "core": core, "whole": whole})
 
 
 def _cut_blocks(batches):
     for b in batches:
         rows = []
         for text, wanted in zip(_bytes(b["x_text"]), b["wanted"]):
-            rows += [(w["core"], w["whole"], w["salt"], w["m"], text[w["lo"] : w["lo"] + w["n"] + SPAN]) for w in wanted]
-        yield pd.DataFrame(rows, columns=["core", "whole", "salt", "m", "block"])
+            rows += [(w["core"], w["whole"], w["salt"], w["m"], w["p"], text[w["lo"] : w["lo"] + w["n"] + SPAN]) for w in wanted]
+        yield pd.DataFrame(rows, columns=["core", "whole", "salt", "m", "p", "block"])
 
 
 def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -250,25 +252,29 @@ def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _index(batches):
-    """Per (core, salt): rows (core, whole, lo, hi, hash): repeated ranges of starts; with a hash, a start to match over tasks."""
+    """Per (core, salt): rows (core, whole, lo, hi, hash): repeated ranges of starts; with a hash, a band of starts to match over tasks."""
     def run(rows: pd.DataFrame):
         texts = [bytes(x) for x in rows["block"]]
         of, at, group, size = classes(texts)
         many = (size[group] > 1) | (rows["m"].to_numpy() > 1)[of]
-        flags = np.zeros(sum(len(t) - SPAN + 1 for t in texts), bool)
         first = np.r_[0, np.cumsum([len(t) - SPAN + 1 for t in texts])]
+        flags = np.zeros(first[-1], bool)
         flags[first[of[many]] + at[many]] = True
-        core, whole, m, salted = (rows[c].to_numpy() for c in ("core", "whole", "m", "salted"))
+        core, whole, m, anchor, salt = (rows[c].to_numpy() for c in ("core", "whole", "m", "p", "salt"))
         out = [(core[i], whole[i], lo, hi, None) for i in range(len(texts)) if m[i] == 1 for lo, hi in _ranges(flags[first[i] : first[i + 1]])]
-        if salted.any():
+        lead = np.zeros(len(group), bool)
+        lead[np.unique(group, return_index=True)[1]] = True  # one of each class, hence all that aren't repeated here
+        lead &= (salt >= 0)[of]
+        if lead.any():
+            bands = np.unique(np.stack([of[lead], (anchor[of[lead]] - at[lead]) // BAND], axis=1), axis=0)
+            i, band = bands[:, 0], bands[:, 1]
+            length = np.array([len(t) for t in texts])
+            last, start = anchor[i] - band * BAND, anchor[i] - band * BAND - BAND + 1  # its starts, as far as the block has them
             with np.errstate(over="ignore"):
-                roll, begin = Rolling(np.frombuffer(b"".join(texts), np.uint8)), np.r_[0, np.cumsum([len(t) for t in texts])]
-                lead = np.zeros(len(group), bool)
-                lead[np.unique(group, return_index=True)[1]] = True  # one of each class: all of those not repeated here
-                lead &= salted[of]
-                q = begin[of[lead]] + at[lead]
-                hashes = roll.of(q, q + SPAN, _M2).view(np.int64)
-            out += [(core[i], whole[i], int(a), int(a), int(h)) for i, a, h in zip(of[lead], at[lead], hashes)]
+                roll, begin = Rolling(np.frombuffer(b"".join(texts), np.uint8)), np.r_[0, np.cumsum(length)][:-1]
+                shared = _mix(roll.of(begin[i] + last, begin[i] + start + SPAN, _M2) + band.astype(np.uint64)).view(np.int64)
+            lo, hi = np.maximum(start, 0), np.minimum(last, length[i] - SPAN)
+            out += list(zip(core[i].tolist(), whole[i].tolist(), lo.tolist(), hi.tolist(), shared.tolist()))
         return pd.DataFrame(out, columns=["core", "whole", "lo", "hi", "hash"]).astype({"hash": "Int64"})
 
     kept, size = [], 0
@@ -288,6 +294,19 @@ def _index(batches):
         yield run(pd.concat(kept, ignore_index=True))
 
 
+def _strings(batches):
+    """Hash of each string that starts in the bands of a block."""
+    for b in batches:
+        texts = [bytes(x) for x in b["block"]]
+        lo, n = b["lo"].to_numpy(), (b["hi"] - b["lo"] + 1).to_numpy()
+        begin, of = np.r_[0, np.cumsum([len(t) for t in texts])][:-1], np.repeat(np.arange(len(texts)), n)
+        at = np.arange(len(of)) - np.repeat(np.r_[0, np.cumsum(n)][:-1], n) + lo[of]
+        with np.errstate(over="ignore"):
+            q = begin[of] + at
+            h = Rolling(np.frombuffer(b"".join(texts), np.uint8)).of(q, q + SPAN, _M2).view(np.int64)
+        yield pd.DataFrame({"core": b["core"].to_numpy()[of], "whole": b["whole"].to_numpy()[of], "lo": at, "hash": h})
+
+
 def _remove(batches):
     for b in batches:
         rows = []
@@ -319,27 +338,31 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("x_id"), F.xxhash64(text).alias("x_sig"), text.alias("x_text"))
-    found = materialise(rows.where(F.octet_length("x_text") >= SPAN).mapInPandas(_scan, f"x_id {kind}, x_sig bigint, x_lo bigint, x_n int, core bigint, whole bigint"), "blocks")
+    found = materialise(rows.where(F.octet_length("x_text") >= SPAN).mapInPandas(_scan, f"x_id {kind}, x_sig bigint, x_lo bigint, x_n int, x_p int, core bigint, whole bigint"), "blocks")
 
     shared = materialise(found.groupBy("core").count().where("count > 1").select(F.col("core").alias("s_core")), "cores")
     some = materialise(found.join(shared, F.col("core") == F.col("s_core"), "left_semi"), "shared")
-    block = some.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("x_id", "x_sig", "x_lo", "x_n")).alias("r"))
+    block = some.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("x_id", "x_sig", "x_lo", "x_n", "x_p")).alias("r"))
     block = materialise(block, "distinct")
     odd = block.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.sum((F.col("m") == 1).cast("int")).alias("singles")).where("k > 1 and singles > 0")
     odd = materialise(odd.select(F.col("core").alias("o_core"), F.ceil(F.col("k") / blocks_a_task).alias("salts")), "odd")
 
     wanted = block.join(odd, F.col("core") == F.col("o_core"))
     salt = F.when(F.col("salts") > 1, F.pmod(F.col("whole"), F.col("salts"))).otherwise(F.lit(-1)).cast("long")
-    wanted = wanted.groupBy("r.x_id", "r.x_sig").agg(F.collect_list(F.struct(F.col("r.x_lo").alias("lo"), F.col("r.x_n").alias("n"), "core", "whole", salt.alias("salt"), "m")).alias("wanted"))
+    wanted = wanted.groupBy("r.x_id", "r.x_sig").agg(F.collect_list(F.struct(F.col("r.x_lo").alias("lo"), F.col("r.x_n").alias("n"), F.col("r.x_p").alias("p"), "core", "whole", salt.alias("salt"), "m")).alias("wanted"))
     wanted = wanted.select(F.col("x_id").alias("w_id"), F.col("x_sig").alias("w_sig"), "wanted")
     fetched = rows.join(wanted, F.col("x_id").eqNullSafe(F.col("w_id")) & (F.col("x_sig") == F.col("w_sig"))).select("x_text", "wanted")
-    fetched = fetched.mapInPandas(_cut_blocks, "core bigint, whole bigint, salt bigint, m bigint, block binary").withColumn("salted", F.col("salt") >= 0)
+    fetched = materialise(fetched.mapInPandas(_cut_blocks, "core bigint, whole bigint, salt bigint, m bigint, p int, block binary"), "fetched")
     dealt = fetched.repartition("core", "salt").sortWithinPartitions("core", "salt")
     ranges = materialise(dealt.mapInPandas(_index, "core bigint, whole bigint, lo bigint, hi bigint, hash bigint"), "ranges")
 
     far = ranges.where("hash is not null")
-    twice = materialise(far.groupBy("core", "hash").count().where("count > 1").select(F.col("core").alias("t_core"), F.col("hash").alias("t_hash")), "far")
-    over = far.join(twice, (F.col("core") == F.col("t_core")) & (F.col("hash") == F.col("t_hash")), "left_semi").select("core", "whole", "lo", "hi")
+    met = materialise(far.groupBy("core", "hash").count().where("count > 1").select(F.col("core").alias("t_core"), F.col("hash").alias("t_hash")), "bands")
+    some_bands = far.join(met, (F.col("core") == F.col("t_core")) & (F.col("hash") == F.col("t_hash")), "left_semi").select(F.col("core").alias("b_core"), F.col("whole").alias("b_whole"), "lo", "hi")
+    strings = fetched.where("salt >= 0").dropDuplicates(["core", "whole"]).join(some_bands, (F.col("core") == F.col("b_core")) & (F.col("whole") == F.col("b_whole")))
+    strings = materialise(strings.select("core", "whole", "lo", "hi", "block").mapInPandas(_strings, "core bigint, whole bigint, lo bigint, hash bigint"), "strings")
+    twice = strings.groupBy("core", "hash").count().where("count > 1").select(F.col("core").alias("t_core"), F.col("hash").alias("t_hash"))
+    over = strings.join(twice, (F.col("core") == F.col("t_core")) & (F.col("hash") == F.col("t_hash")), "left_semi").select("core", "whole", "lo", F.col("lo").alias("hi"))
     sure = block.where("m > 1").select("core", "whole", F.lit(0).cast("long").alias("lo"), F.col("r.x_n").cast("long").alias("hi"))
     decided = ranges.where("hash is null").select("core", "whole", "lo", "hi").unionByName(over).unionByName(sure)
     decided = materialise(decided.groupBy("core", "whole").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts")).withColumnsRenamed({"core": "d_core", "whole": "d_whole"}), "decided")
