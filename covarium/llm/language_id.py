@@ -61,9 +61,9 @@ class ByteGru:
     def _states(self, x: np.ndarray) -> np.ndarray:
         """States (2, T, lanes, HIDDEN) of windows x (lanes, T); the second direction is in reading order of the first."""
         h, (lanes, steps) = HIDDEN, x.shape
-        out = np.empty((2, steps, lanes, h), np.float32)
+        out = np.empty((2, steps, lanes, h), self.inp.dtype)
         for d in (0, 1):
-            state = np.zeros((lanes, h), np.float32)
+            state = np.zeros((lanes, h), self.inp.dtype)
             for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
                 a, g = self.inp[d].take(x[:, t], axis=0), state @ self.rec[d]
                 gates = _sigmoid(a[:, : 2 * h] + g[:, : 2 * h])
@@ -104,43 +104,46 @@ class ByteGru:
             at = to
         return pooled / np.maximum(size, 1)[:, None]
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Of the mean log loss over all positions, for inp, rec, out and base; through all steps of a window."""
+        h, rows, real = HIDDEN, np.arange(len(x)), (x != PAD).T
+        s = self._states(x)
+        z = s[0] @ self.out[0] + s[1] @ self.out[1] + self.base
+        z -= z.max(axis=-1, keepdims=True)
+        p = np.exp(z)
+        p /= p.sum(axis=-1, keepdims=True)
+        p[:, rows, y] -= 1
+        dz = (p * real[..., None] / max(1, real.sum())).astype(self.inp.dtype)
+        grads = [np.zeros_like(q) for q in (self.inp, self.rec, self.out, self.base)]
+        grads[3] += dz.sum((0, 1))
+        for d in (0, 1):
+            grads[2][d] += np.einsum("tbh,tbl->hl", s[d], dz)
+            ds_all, carry, none = dz @ self.out[d].T, 0, np.zeros((len(x), h), self.inp.dtype)
+            steps = range(WINDOW) if d == 0 else range(WINDOW - 1, -1, -1)
+            for k in range(WINDOW - 1, -1, -1):
+                t = steps[k]
+                before = s[d, steps[k - 1]] if k else none
+                a, g = self.inp[d].take(x[:, t], axis=0), before @ self.rec[d]
+                gates = _sigmoid(a[:, : 2 * h] + g[:, : 2 * h])
+                u, r = gates[:, :h], gates[:, h:]
+                new = np.tanh(a[:, 2 * h :] + r * g[:, 2 * h :])
+                ds = ds_all[t] + carry
+                dn = ds * (1 - u) * (1 - new * new)
+                da = np.concatenate([ds * (before - new) * u * (1 - u), dn * g[:, 2 * h :] * r * (1 - r), dn], axis=1)
+                dg = np.concatenate([da[:, : 2 * h], dn * r], axis=1)
+                np.add.at(grads[0][d], x[:, t], da)
+                grads[1][d] += before.T @ dg
+                carry = ds * u + dg @ self.rec[d].T
+        return grads
+
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = 256, rate: float = 0.02, seed: int = 11) -> ByteGru:
-        """Adam on the log loss of every position; backpropagation through all steps of a window."""
-        rng, h = np.random.default_rng(seed), HIDDEN
-        params = [self.inp, self.rec, self.out, self.base]
-        m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+        """Adam; gradients are clipped to norm 1."""
+        rng, params, step = np.random.default_rng(seed), [self.inp, self.rec, self.out, self.base], 0
+        m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         for _ in range(epochs):
             for some in np.array_split(rng.permutation(len(x)), max(1, len(x) // batch)):
-                xs, real = x[some], (x[some] != PAD).T
-                s = self._states(xs)
-                z = s[0] @ self.out[0] + s[1] @ self.out[1] + self.base
-                z -= z.max(axis=-1, keepdims=True)
-                p = np.exp(z)
-                p /= p.sum(axis=-1, keepdims=True)
-                p[:, np.arange(len(some)), y[some]] -= 1
-                dz = (p * real[..., None] / max(1, real.sum())).astype(np.float32)
-                grads = [np.zeros_like(q) for q in params]
-                grads[3] += dz.sum((0, 1))
-                for d in (0, 1):
-                    grads[2][d] += np.einsum("tbh,tbl->hl", s[d], dz)
-                    ds_all, carry = dz @ self.out[d].T, np.zeros((len(some), h), np.float32)
-                    steps = list(range(WINDOW)) if d == 0 else list(range(WINDOW - 1, -1, -1))
-                    for k in range(WINDOW - 1, -1, -1):
-                        t = steps[k]
-                        before = s[d, steps[k - 1]] if k else np.zeros((len(some), h), np.float32)
-                        a, g = self.inp[d].take(xs[:, t], axis=0), before @ self.rec[d]
-                        gates = _sigmoid(a[:, : 2 * h] + g[:, : 2 * h])
-                        u, r = gates[:, :h], gates[:, h:]
-                        new = np.tanh(a[:, 2 * h :] + r * g[:, 2 * h :])
-                        ds = ds_all[t] + carry
-                        dn = ds * (1 - u) * (1 - new * new)
-                        da = np.concatenate([ds * (before - new) * u * (1 - u), dn * g[:, 2 * h :] * r * (1 - r), dn], axis=1)
-                        dg = np.concatenate([da[:, : 2 * h], dn * r], axis=1)
-                        np.add.at(grads[0][d], xs[:, t], da)
-                        grads[1][d] += before.T @ dg
-                        carry = ds * u + dg @ self.rec[d].T
-                norm = float(np.sqrt(sum((g * g).sum() for g in grads)))
-                step += 1
+                grads = self.gradients(x[some], y[some])
+                norm, step = float(np.sqrt(sum((g * g).sum() for g in grads))), step + 1
                 for i, g in enumerate(grads):
                     g = g / max(1.0, norm)
                     m[i] += 0.1 * (g - m[i])
