@@ -33,7 +33,7 @@ EPOCHS = 8
 MIN_STEPS = 300
 CUT = 0.3
 #: Bytes of text that are scored at a time; a longer text is scored in pieces that overlap by the widest filter.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
@@ -72,6 +72,18 @@ def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.diff(np.r_[0, np.searchsorted(start, ends_of)])
 
 
+def _blocks(texts: list[bytes]):
+    """(from, to) of runs of texts with at most BLOCK bytes together, or of one longer text."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= BLOCK):
+            size += len(texts[to])
+            to += 1
+        yield at, to
+        at = to
+
+
 def _laid_out(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of each text followed by as many blanks (row BUCKETS) as the widest filter has; start of each text."""
     pad = max(WIDTHS)
@@ -119,18 +131,10 @@ class TextCnn:
         return seq, np.concatenate(pooled, axis=1), at
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
-        out, at = np.empty(len(texts)), 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) <= BLOCK):
-                size += len(texts[to])
-                to += 1
-            if to == at + 1 and size > BLOCK:
-                pool = self._long(texts[at])
-            else:
-                pool = self._pooled(*word_ids(texts[at:to]))[1]
+        out = np.empty(len(texts))
+        for at, to in _blocks(texts):
+            pool = self._long(texts[at]) if len(texts[at]) > BLOCK else self._pooled(*word_ids(texts[at:to]))[1]
             out[at:to] = np.maximum(pool + self.bias, 0) @ self.out + self.base[0]
-            at = to
         return out
 
     def _long(self, text: bytes) -> np.ndarray:
@@ -154,7 +158,8 @@ class TextCnn:
     def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.01, seed: int = 7) -> TextCnn:
         """Adam on the log loss; gradients flow to the position each filter's maximum lies at."""
         rng = np.random.default_rng(seed)
-        ids, n = word_ids(texts)
+        parts = [word_ids(texts[at:to]) for at, to in _blocks(texts)]
+        ids, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         begin = np.r_[0, np.cumsum(n)]
         params = [self.emb, *self.conv, self.bias, self.out, self.base]
         m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
