@@ -30,7 +30,8 @@ BASE = (
 )
 MARKOV = "markov"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-ORDINARY = r"[A-Za-z][A-Za-z0-9_-]{5,}"
+#: Whole tokens without digits: secrets that no base rule finds would otherwise pass for identifiers.
+ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z_-]{5,}(?![A-Za-z0-9+/_=-])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 #: Identifiers are learnt from at most so many documents, those whose ids hash lowest.
 SAMPLE_DOCS = 2000
