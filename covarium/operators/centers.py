@@ -9,6 +9,8 @@ otherwise iterated over the cluster, one averaged tangent per step.
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -82,18 +84,26 @@ def _step(size: float):
     return F.pandas_udf(run, spd.MATRIX)
 
 
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage in the shared folder of ``spark.checkpoint.dir``; where that is unset (one machine), in a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="covarium-"))
+    return df.checkpoint()
+
+
 def _karcher_iterated(covs: DataFrame, by: list[str], tol: float, max_iter: int) -> DataFrame:
     """Steps over the cluster: each averages tangents at the current means; means are checkpointed."""
-    now, done, last = arithmetic_centers(covs, by).select(*by, "fit_n", "mean").checkpoint(), 0, 1.0
+    now, done, last = _checkpointed(arithmetic_centers(covs, by).select(*by, "fit_n", "mean")), 0, 1.0
     for done in range(1, max_iter + 1):
         at = covs.join(now.withColumn("w", spd.spd_invsqrt("mean")), by).withColumn("t", _TANGENT("w", "cov"))
         tangents = group_mean_vector(at, by, "t", "tangent", "t_n").withColumn("size", norm(F.col("tangent")))
-        met = now.join(tangents, by).checkpoint()
+        met = _checkpointed(now.join(tangents, by))
         worst = met.agg(F.max("size")).first()[0]
         if worst <= tol:
             break
         last *= 0.95
-        now = met.select(*by, "fit_n", _step(last)("mean", "tangent").alias("mean")).checkpoint()
+        now = _checkpointed(met.select(*by, "fit_n", _step(last)("mean", "tangent").alias("mean")))
     return met.select(*by, "fit_n", "mean", (F.col("size") / F.sqrt(F.sqrt(F.size("mean")))).alias("karcher_residual"), F.lit(done).alias("iterations"), F.when(F.col("size") > tol * 10, F.array(F.lit("no convergence"))).otherwise(F.array().cast("array<string>")).alias("warnings"))
 
 

@@ -24,11 +24,11 @@ def six_numbers(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def descriptive(df: DataFrame, group: str, pair: str, value: str) -> DataFrame:
     """Per group and scope (``all`` and each pair): n, mean, std (0 for one row), median; one pass by grouping sets."""
-    df.createOrReplaceTempView("covarium_descriptive")
-    return df.sparkSession.sql(f"""
+    query = f"""
         SELECT `{group}`, CASE WHEN grouping(`{pair}`) = 1 THEN 'all' ELSE CAST(`{pair}` AS STRING) END AS scope, count(`{value}`) AS n,
                avg(`{value}`) AS mean, coalesce(stddev_samp(`{value}`), 0D) AS std, median(`{value}`) AS median
-        FROM covarium_descriptive GROUP BY GROUPING SETS ((`{group}`), (`{group}`, `{pair}`))""")
+        FROM {{rows}} GROUP BY GROUPING SETS ((`{group}`), (`{group}`, `{pair}`))"""
+    return df.sparkSession.sql(query, rows=df)
 
 
 def pair_summary(df: DataFrame, pair: str, value: str) -> DataFrame:
