@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
 
     work = tmp_path_factory.mktemp("spark")
     s = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
+        SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").config("spark.checkpoint.dir", str(work / "shared")).config("spark.sql.warehouse.dir", str(work / "warehouse")).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
