@@ -32,6 +32,9 @@ FILTERS = 12
 EPOCHS = 8
 MIN_STEPS = 300
 CUT = 0.3
+#: A calibrated threshold needs so many rows of either class, and so much precision on them.
+CASES = 10
+PRECISION = 0.8
 #: Bytes of text that are scored at a time; a longer text is scored in pieces that overlap by the widest filter.
 BLOCK = 1 << 19
 
@@ -199,15 +202,20 @@ class TextCnn:
         return out
 
 
-def best_cut(score: np.ndarray, y: np.ndarray, otherwise: float = CUT) -> float:
-    """Threshold of the best F1; ``otherwise`` where a class is missing.  The middle of the gap that it lies in."""
-    if len(y) == 0 or y.min() == y.max():
+def best_cut(score: np.ndarray, y: np.ndarray, otherwise: float = CUT, cases: int = CASES) -> float:
+    """Threshold of the best F1 among those of enough precision, in the middle of its gap.
+
+    ``otherwise`` where either class has fewer than ``cases`` rows or none is precise enough.
+    """
+    if min(y.sum(), len(y) - y.sum()) < cases:
         return otherwise
     order = np.argsort(-score, kind="stable")
-    hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
+    hit, n = np.cumsum(y[order]), np.arange(1, len(y) + 1)
     last = np.r_[score[order][1:] != score[order][:-1], True]
-    k = int(np.argmax(np.where(last, f1, -1)))
+    f1 = np.where(last & (hit >= PRECISION * n), 2 * hit / (n + y.sum()), -1)
+    k = int(np.argmax(f1))
+    if f1[k] < 0:
+        return otherwise
     below = score[order][k + 1] if k + 1 < len(y) else 0.0
     return float((score[order][k] + below) / 2)
 

@@ -248,8 +248,10 @@ def test_toxicity_long_text(monkeypatch):
 
 
 def test_best_cut():
-    assert toxicity.best_cut(np.array([0.9, 0.8, 0.2]), np.array([1.0, 1, 0])) == pytest.approx(0.5)
-    assert toxicity.best_cut(np.array([0.9]), np.array([1.0])) == toxicity.CUT
+    score, y = np.array([0.9, 0.8, 0.2]), np.array([1.0, 1, 0])
+    assert toxicity.best_cut(score, y, cases=1) == pytest.approx(0.5)
+    assert toxicity.best_cut(score, y) == toxicity.CUT  # too few rows to calibrate by
+    assert toxicity.best_cut(np.array([0.9, 0.8, 0.7, 0.2]), np.array([0.0, 0, 0, 1]), cases=1) == toxicity.CUT
 
 
 def test_gru_gradient():
