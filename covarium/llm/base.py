@@ -50,3 +50,10 @@ def without(docs: DataFrame, drops: DataFrame, id_col: str = "doc_id") -> DataFr
     small = drops.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     other = F.broadcast(drops) if small else drops
     return docs.join(other, docs[id_col] == other["drop_id"], "left_anti")
+
+
+def without_rows(docs: DataFrame, drops: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` less the rows whose id (null equals null) and text are in ``drops`` (materialised: drop_id, drop_sig = xxhash64 of the text)."""
+    small = drops.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    other = F.broadcast(drops) if small else drops
+    return docs.join(other, docs[id_col].eqNullSafe(other["drop_id"]) & (F.xxhash64(docs[text_col]) == other["drop_sig"]), "left_anti")
