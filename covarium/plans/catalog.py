@@ -526,8 +526,8 @@ def r51_logistic_probe_oof(spark, d):
 @query()
 def r52_loso_t1_t2(spark, d):
     """Leave one of three supplier groups out; the return flag is the class, supplier groups of six the runs."""
-    c = _cov4(spark, d).select(F.concat_ws("-", F.col("l_suppkey").cast("string"), "l_returnflag").alias("trial_uid"), (F.col("l_suppkey") % 3 + 1).alias("subject"), (F.floor(F.col("l_suppkey") / 3) % 6).cast("string").alias("run"), "l_returnflag", spd.log_svec("cov").alias("coords"))
-    out = protocol.loso(c, "l_returnflag", max_iter=300)
+    c = _cov4(spark, d).select(F.concat_ws("-", F.col("l_suppkey").cast("string"), "l_returnflag").alias("trial_uid"), (F.col("l_suppkey") % 3 + 1).alias("subject"), (F.floor(F.col("l_suppkey") / 3) % 6).cast("string").alias("run"), "l_returnflag", "cov", spd.log_svec("cov").alias("coords"))
+    out = protocol.loso(c, "l_returnflag", geometries=protocol.GEOMETRIES)
     return out.select("target", "geometry", "protocol", "split", "status", "transductive_overlap", "n", *[F.round(c, 4).alias(c) for c in ("accuracy", "balanced_accuracy", "macro_f1")])
 
 

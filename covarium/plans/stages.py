@@ -90,6 +90,10 @@ def loso(spark: SparkSession, src: str, out: str) -> None:
         gates.require_gate(f.read(), _read(spark, out, "gate"))
     z = _read(spark, out, "coordinates").where("representation = 'WHOLE'")
     sinks.parquet(protocol.loso(z, "class_label"), f"{out}/loso", "overwrite")
+    sinks.parquet(protocol.loso(z, "class_label", geometries=("AIRM", "EA")), f"{out}/loso_matrix", "overwrite")
+    sinks.parquet(protocol.loso_mdm(z, "class_label"), f"{out}/loso_mdm", "overwrite")
+    fold = trials.folds(z.select(*KEY), 5, trials.SEED, [("subject", "int"), ("session", "str"), ("trial_id", "int")]).select("trial_uid", "fold")
+    sinks.parquet(protocol.leakage_audit(z.join(fold, "trial_uid"), "subject", "class_label", "fold", "coords", 5), f"{out}/leakage_audit", "overwrite")
     sinks.parquet(protocol.identity_audit(z), f"{out}/identity_audit", "overwrite")
     c = _read(spark, out, "covariances").where("representation = 'WHOLE'").select("subject", "cov")
     sinks.parquet(stats.compare_means(*(centers.fit_centers(c, g, ["subject"]) for g in ("LE", "AIRM", "EA")), ["subject"]), f"{out}/mean_comparison", "overwrite")
@@ -97,16 +101,19 @@ def loso(spark: SparkSession, src: str, out: str) -> None:
 
 
 def write_report(spark: SparkSession, src: str, out: str) -> None:
-    results = _read(spark, out, "loso")
+    results = _read(spark, out, "loso").unionByName(_read(spark, out, "loso_matrix"))
+    mdm, leakage = _read(spark, out, "loso_mdm").orderBy("target", "geometry", "metric", "protocol", "split"), _read(spark, out, "leakage_audit").orderBy("condition", "fold")
     failed = results.where("status = 'FAILED'").count()
     t1, t2 = (report.verdicts.ba_pivot(results, s, subject="target") for s in ("ALL", "AGGREGATE"))
+    failed += sum(t.where("RAW is null or LE is null or AIRM is null").count() for t in (t1, t2))  # an absent geometry leaves the questions open, too
     text = dict.fromkeys(report.SECTIONS, "See the tables beside this report.")
     text["Geometry correctness"] = report.markdown(gates.gate_payload(_read(spark, out, "gate")))
     text["LE vs AIRM Fréchet means"] = report.markdown(_read(spark, out, "mean_comparison"))
     text["LOSO transductive results"], text["Calibration-to-held-out-run results"] = report.markdown(t1), report.markdown(t2)
+    text["Metric-native MDM sanity check"], text["V1 leakage audit"] = report.markdown(mdm), report.markdown(leakage)
     text["Marginal domain diagnostics"] = report.markdown(_read(spark, out, "domain_shift"))
-    text["Frozen decision-rule verdicts"] = report.markdown(report.verdicts.questions(t1, t2, failed))
-    report.write(out, report.render("Geometry audit", text), {"loso_results": results})
+    text["Frozen decision-rule verdicts"] = report.markdown(report.verdicts.questions(t1.withColumnRenamed("target", "subject"), t2, failed))
+    report.write(out, report.render("Geometry audit", text), {"loso_results": results, "mdm_results": mdm, "leakage_audit_results": leakage})
 
 
 STAGES = {"prepare": prepare, "covariances": covariances, "coordinates": coordinates, "diagnostics": diagnostics, "gate": gate, "loso": loso, "report": write_report}
