@@ -5,9 +5,9 @@ gives the gaps between them, and running sums of gap and match lengths give the
 positions.  Only rows with a match go on from the scan, without their text.
 
 Two first-order Markov models over characters, one of random strings and one of
-ordinary identifiers, are counted from samples that the base rules label: the
-values they find are random strings, words of a bounded sample of documents that
-they don't touch are identifiers.  A token's summed log-likelihood ratio per
+ordinary identifiers, are counted from what the base rules label: the values
+they find are random strings, words of all documents that they don't touch are
+identifiers.  A token's summed log-likelihood ratio per
 character decides.  Counts are aggregated on executors; the driver sees one
 table of at most |alphabet|^2 numbers.
 """
@@ -33,8 +33,6 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Whole tokens without digits: secrets that no base rule finds would otherwise pass for identifiers.
 ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z_-]{5,}(?![A-Za-z0-9+/_=-])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
-#: Identifiers are learnt from at most so many documents, those whose ids hash lowest.
-SAMPLE_DOCS = 2000
 #: Random strings are learnt from the distinct values of at most so many characters that the base rules find.
 SAMPLE_CHARS = 256
 #: Least log-likelihood ratio per character, in nats.
@@ -96,7 +94,7 @@ def _placed(hits: DataFrame) -> DataFrame:
     return hits.withColumn("start", start).withColumn("end", start + F.col("size")).where("ok")
 
 
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, margin: float = MARGIN) -> DataFrame:
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN) -> DataFrame:
     """A row per input row: id, n_assign, n_access, n_hex, base_sha256, spans (``kind:start:end``, comma-joined).
 
     Spans are whole matches in code points, end exclusive, by start and then kind
@@ -113,8 +111,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
     each = F.concat(*[F.coalesce(F.filter(k, lambda z: z["size"].isNotNull()), none) for k in kinds])
     hits = materialise(rows.select("x_id", "x_sig", F.explode_outer(each).alias("h")).where("h is not null").select("x_id", "x_sig", "h.*"), "secrets")
 
-    some = F.broadcast(docs.select(F.col(id_col).alias("s_id")).orderBy(F.xxhash64("s_id"), "s_id").limit(sample_docs))
-    words = rows.join(some, F.col("x_id").eqNullSafe(F.col("s_id")), "left_semi")
+    words = rows.select("x_text")
     for _, rx, *_ in BASE:
         words = words.withColumn("x_text", F.regexp_replace("x_text", rx, " "))
     words = words.select(F.explode_outer(F.regexp_extract_all(F.col("x_text"), F.lit(ORDINARY), F.lit(0))).alias("x_token"))
