@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covarium.llm.base import BROADCAST_ROWS, ascii_lower, materialise, without
+from covarium.llm.base import BROADCAST_ROWS, ascii_lower, materialise, without_rows
 
 WINDOW = 10
 GRAM = 5
@@ -124,25 +124,32 @@ def windows_hit(docs: DataFrame, bench: DataFrame, item_col: str = "item_id", be
     return found
 
 
+def _row(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """What tells rows apart: id and hash of the text."""
+    return F.struct(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("sig"))
+
+
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A row per input row: id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    Null and wordless texts have no words and no hits; null ids are carried; rows that
-    repeat an id are judged together by that id's hits (equal rows give equal results);
-    an item without words is no item; empty tables give no rows (documents) or no hits
+    Null and wordless texts have no words and no hits; null ids are carried; rows are
+    told apart by id and text, so an id on two texts gives each its own hits; an item
+    without words is no item; empty tables give no rows (documents) or no hits
     (benchmark).  Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("x_row"), words_of(F.col(text_col)).alias("x_words"))
+    row = _row(docs, id_col, text_col)
+    rows = docs.select(row.alias("x_row"), words_of(F.col(text_col)).alias("x_words"))
     found = materialise(windows_hit(rows, bench, item_col, bench_text, broadcast_rows).distinct(), "hits")
     at = found.select("x_row", F.explode(F.sequence("x_from", F.col("x_from") + F.col("x_len") - 1)).alias("x_at")).distinct()
     at = at.groupBy("x_row").agg(F.count(F.lit(1)).alias("x_hit"))
     named = found.select(F.col("x_row").alias("h_row"), "x_item").distinct().groupBy("h_row").agg(F.sort_array(F.collect_set("x_item")).alias("x_items"))
-    of = materialise(at.join(named, F.col("x_row").eqNullSafe(F.col("h_row"))).drop("x_row"), "perdoc")
+    of = at.join(named, F.col("x_row").eqNullSafe(F.col("h_row"))).select(F.col("h_row.id").alias("h_id"), F.col("h_row.sig").alias("h_sig"), "x_hit", "x_items")
+    of = materialise(of, "perdoc")
     small = of.limit(broadcast_rows + 1).count() <= broadcast_rows
-    counted = docs.select(F.col(id_col).alias("x_row"), F.size(words_of(F.col(text_col))).alias("x_n"))
-    joined = counted.join(F.broadcast(of) if small else of, F.col("x_row").eqNullSafe(F.col("h_row")), "left")
+    counted = docs.select(F.col(id_col).alias("x_id"), F.xxhash64(F.col(text_col)).alias("x_sig"), F.size(words_of(F.col(text_col))).alias("x_n"))
+    joined = counted.join(F.broadcast(of) if small else of, F.col("x_id").eqNullSafe(F.col("h_id")) & (F.col("x_sig") == F.col("h_sig")), "left")
     return joined.select(
-        F.col("x_row").alias(id_col), F.col("x_n").cast("long").alias("n_words"), F.coalesce("x_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.col("x_id").alias(id_col), F.col("x_n").cast("long").alias("n_words"), F.coalesce("x_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("x_items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("x_items", ","), F.lit("")), 256).alias("items_sha256"), (F.coalesce("x_hit", F.lit(0)) > 0).alias("contaminated"),
     )
@@ -150,6 +157,6 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a benchmark window; columns stay as they are."""
-    rows = docs.select(F.col(id_col).alias("x_row"), words_of(F.col(text_col)).alias("x_words"))
-    drops = materialise(windows_hit(rows, bench).select(F.col("x_row").alias("drop_id")).distinct(), "leaks")
-    return without(docs, drops, id_col)
+    rows = docs.select(_row(docs, id_col, text_col).alias("x_row"), words_of(F.col(text_col)).alias("x_words"))
+    drops = windows_hit(rows, bench).select(F.col("x_row.id").alias("drop_id"), F.col("x_row.sig").alias("drop_sig")).distinct()
+    return without_rows(docs, materialise(drops, "leaks"), id_col, text_col)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covarium.llm.base import BROADCAST_ROWS, ascii_lower, materialise, without
+from covarium.llm.base import BROADCAST_ROWS, ascii_lower, materialise
 
 PREFIX_CHARS = 64
 
@@ -63,17 +63,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts; columns and order of columns stay as they are.
 
-    Dropped ids are joined away; only if a group repeats an id, or drops rows without
-    one, are rows told apart by id and content, which takes a shuffle of the rest.
+    Dropped rows are joined away by id and content; only where a group repeats an id, hence
+    drops a row that looks like the one that stays, are rows told apart by a shuffle of the rest.
     """
     found = exact_groups(docs, id_col, text_col)
     drops = found.where("not kept").select(F.col(id_col).alias("drop_id"), F.col("text_sha256").alias("drop_hash"), F.col(id_col).eqNullSafe(F.col("keep_id")).alias("same"))
-    drops = materialise(drops, "drops")
-    left = without(docs, drops.where("not same and drop_id is not null").select("drop_id"), id_col)
-    if not drops.where("same or drop_id is null").limit(1).count():
-        return left
-    whole = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    left = left.withColumn("covarium_hash", whole)
-    nameless = drops.where("drop_id is null and not same").select("drop_hash").distinct()
-    left = left.join(nameless, F.col(id_col).isNull() & (F.col("covarium_hash") == F.col("drop_hash")), "left_anti")
-    return left.dropDuplicates([id_col, "covarium_hash"]).drop("covarium_hash")
+    drops = materialise(drops.distinct(), "drops")
+    other = drops.where("not same")
+    if other.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        other = F.broadcast(other)
+    left = docs.withColumn("covarium_hash", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    left = left.join(other, F.col(id_col).eqNullSafe(F.col("drop_id")) & (F.col("covarium_hash") == F.col("drop_hash")), "left_anti")
+    if drops.where("same").limit(1).count():
+        left = left.dropDuplicates([id_col, "covarium_hash"])
+    return left.drop("covarium_hash")
