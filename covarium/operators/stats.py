@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 from covarium.functions import spd
 from covarium.functions.vectors import cosine, distance, group_mean_vector, max_abs, norm, sub
 
-#: A silhouette compares every row with every other one; beyond this many rows take a balanced subset first.
+#: A silhouette compares every row with every other one; beyond this many rows it does so block by block.
 SILHOUETTE_ROWS = 20_000
+#: Rows of a block.
+SILHOUETTE_BLOCK = 2_000
 
 
 def six_numbers(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -75,15 +78,69 @@ def rms_distance_ratio(df: DataFrame, label: str, vec: str) -> DataFrame:
     return out.withColumn("ratio", ratio)
 
 
-def silhouette(df: DataFrame, label: str, vec: str, max_rows: int = SILHOUETTE_ROWS) -> DataFrame:
-    """Mean Euclidean silhouette over all rows: one row (silhouette, n).
+def _widths(sums: np.ndarray, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Silhouettes of rows from the sums of their distances to each label's rows."""
+    i = np.arange(len(own))
+    a = sums[i, own] / np.maximum(counts[own] - 1, 1)
+    mean = sums / counts
+    mean[i, own] = np.inf
+    c = mean.min(axis=1)
+    top = np.maximum(a, c)
+    return np.where((counts[own] > 1) & (top > 0), (c - a) / np.where(top > 0, top, 1), 0.0)
+
+
+def _silhouette_in_blocks(df: DataFrame, label: str, vec: str) -> DataFrame:
+    """The same over all rows, however many: each pair of blocks is one row of a cross join, and only sums by label are shuffled."""
+    seen = df.groupBy(F.col(label).cast("string").alias("label")).count().orderBy("label").collect()
+    names, counts = np.array([r["label"] for r in seen], str), np.array([r["count"] for r in seen])
+    order = np.argsort(names)
+    names, counts = names[order], counts[order]
+    if len(names) < 2 or len(names) >= counts.sum():
+        raise ValueError("a silhouette needs between 2 and n - 1 labels")
+    largest = df.agg(F.max(F.aggregate(vec, F.lit(0.0), lambda acc, v: acc + v * v))).first()[0]
+
+    def pack(batches):
+        task = TaskContext.get().partitionId() << 32
+        k = 0
+        for b in batches:
+            for at in range(0, len(b), SILHOUETTE_BLOCK):
+                part = b.iloc[at : at + SILHOUETTE_BLOCK]
+                x = np.stack([np.asarray(v, float) for v in part["vec"]])
+                yield pd.DataFrame({"block": [task + k], "x": [x.tobytes()], "own": [np.searchsorted(names, part["label"].to_numpy(str)).astype(np.int64).tobytes()]})
+                k += 1
 
-    Quadratic by definition: the rows, at most ``max_rows`` of them (an error beyond), are one
-    block that every task has; tasks take their own rows' distances to it.
+    blocks = df.select(F.col(label).cast("string").alias("label"), F.col(vec).alias("vec")).mapInPandas(pack, "block bigint, x binary, own binary").persist()
+
+    def distances(batches):
+        for b in batches:
+            for r in b.itertuples():
+                own, other = np.frombuffer(r.own, np.int64), np.frombuffer(r.o_own, np.int64)
+                y, x = np.frombuffer(r.x).reshape(len(own), -1), np.frombuffer(r.o_x).reshape(len(other), -1)
+                d = np.sqrt(np.maximum((x * x).sum(axis=1)[None] + (y * y).sum(axis=1)[:, None] - 2 * y @ x.T, 0))
+                d[d < 1e-7 * np.sqrt(largest + 1e-300)] = 0.0
+                yield pd.DataFrame({"block": [r.block], "own": [r.own], "sums": [(d @ np.eye(len(names))[other]).tobytes()]})
+
+    def finish(rows: pd.DataFrame) -> pd.DataFrame:
+        own = np.frombuffer(rows["own"].iloc[0], np.int64)
+        sums = np.sum([np.frombuffer(v).reshape(len(own), -1) for v in rows["sums"]], axis=0)
+        return pd.DataFrame({"s": _widths(sums, own, counts)})
+
+    other = blocks.select(F.col("x").alias("o_x"), F.col("own").alias("o_own"))
+    each = blocks.crossJoin(other).mapInPandas(distances, "block bigint, own binary, sums binary").groupBy("block").applyInPandas(finish, "s double")
+    return each.agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("n"))
+
+
+def silhouette(df: DataFrame, label: str, vec: str, max_rows: int | None = None) -> DataFrame:
+    """Mean Euclidean silhouette over all rows: one row (silhouette, n).  More than ``max_rows`` rows are an error, if it is given.
+
+    Quadratic by definition: up to SILHOUETTE_ROWS the rows are one block that every task has,
+    and tasks take their own rows' distances to it; beyond, blocks meet pair by pair.
     """
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
+    n = df.limit((max_rows or SILHOUETTE_ROWS) + 1).count()
+    if max_rows is not None and n > max_rows:
         raise ValueError(f"a silhouette takes at most {max_rows} rows; take a balanced subset")
+    if n > SILHOUETTE_ROWS:
+        return _silhouette_in_blocks(df, label, vec)
     rows = df.select(F.col(label).cast("string").alias("label"), F.col(vec).alias("vec")).toPandas()
     names, code = np.unique(rows["label"].to_numpy(str), return_inverse=True)
     if len(names) < 2 or len(names) >= len(rows):
@@ -97,14 +154,7 @@ def silhouette(df: DataFrame, label: str, vec: str, max_rows: int = SILHOUETTE_R
             y, own = np.stack([np.asarray(v, float) for v in b["vec"]]), np.searchsorted(names, b["label"].to_numpy(str))
             d = np.sqrt(np.maximum(squares[None] + (y * y).sum(axis=1)[:, None] - 2 * y @ x.T, 0))
             d[d < 1e-7 * np.sqrt(squares.max() + 1e-300)] = 0.0
-            sums, i = d @ member, np.arange(len(y))
-            a = sums[i, own] / np.maximum(counts[own] - 1, 1)
-            mean = sums / counts
-            mean[i, own] = np.inf
-            c = mean.min(axis=1)
-            top = np.maximum(a, c)
-            s = np.where((counts[own] > 1) & (top > 0), (c - a) / np.where(top > 0, top, 1), 0.0)
-            yield pd.DataFrame({"s": s})
+            yield pd.DataFrame({"s": _widths(d @ member, own, counts)})
 
     each = df.select(F.col(label).cast("string").alias("label"), F.col(vec).alias("vec")).mapInPandas(run, "s double")
     return each.agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("n"))
@@ -135,19 +185,27 @@ def class_cosines(steps: DataFrame, group: str, pair: str, vec: str = "delta") -
     return met.select("scope", "class_a", "class_b", cosine(F.col("ma"), F.col("mb")).alias("cosine"))
 
 
-def separability(coords: DataFrame, vec: str, labels: dict[str, str], name: str, window: str | None = None) -> DataFrame:
-    """Silhouette and RMS ratio for each label: representation, metric, window, value."""
+def separability(coords: DataFrame, vec: str, labels: dict[str, str], name: str, window: str | None = None, sample: DataFrame | None = None) -> DataFrame:
+    """Silhouette and RMS ratio for each label, and of each window: representation, metric, window, value.
+
+    Only silhouettes over all windows are taken from ``sample``, if it is given.
+    """
     spark, out = coords.sparkSession, None
     def put(df, metric, at):
         nonlocal out
         row = df.select(F.lit(name).alias("representation"), F.lit(metric).alias("metric"), F.lit(at).alias("window"), F.col("v").alias("value"))
         out = row if out is None else out.unionByName(row)
+    chosen = coords if sample is None else sample
+    windows = [k for (k,) in coords.select(window).distinct().orderBy(window).collect()] if window else []  # a handful of windows
+    if window:
+        put(silhouette(chosen, window, vec).select(F.col("silhouette").alias("v")), "window_silhouette", "all")
     for what, column in labels.items():
-        put(silhouette(coords, column, vec).select(F.col("silhouette").alias("v")), f"{what}_silhouette", "all")
+        put(silhouette(chosen, column, vec).select(F.col("silhouette").alias("v")), f"{what}_silhouette", "all")
         put(rms_distance_ratio(coords, column, vec).select(F.col("ratio").alias("v")), f"{what}_separation_ratio", "all")
-        if window:
-            for (k,) in coords.select(window).distinct().orderBy(window).collect():  # a handful of windows
-                put(silhouette(coords.where(F.col(window) == k), column, vec).select(F.col("silhouette").alias("v")), f"{what}_silhouette", str(k))
+        for k in windows:
+            one = coords.where(F.col(window) == k)
+            put(silhouette(one, column, vec).select(F.col("silhouette").alias("v")), f"{what}_silhouette", str(k))
+            put(rms_distance_ratio(one, column, vec).select(F.col("ratio").alias("v")), f"{what}_separation_ratio", str(k))
     return out
 
 

@@ -47,6 +47,12 @@ def coordinates(spark: SparkSession, src: str, out: str) -> None:
         raise contracts.ContractError(f"centered means are {left}, not 0")
 
 
+def whole_trials(window: DataFrame, most: int = stats.SILHOUETTE_ROWS // 5) -> DataFrame:
+    """All windows of a balanced subset of about ``most`` trials."""
+    chosen = trials.balanced_subset(window.select("subject", "class_label", "trial_uid").distinct(), most)
+    return window.join(chosen.select("trial_uid"), "trial_uid", "left_semi")
+
+
 def diagnostics(spark: SparkSession, src: str, out: str) -> None:
     z = _read(spark, out, "coordinates")
     whole, window = z.where("representation = 'WHOLE'"), z.where("representation = 'WINDOW5'")
@@ -54,8 +60,8 @@ def diagnostics(spark: SparkSession, src: str, out: str) -> None:
     found = None
     for name, df in (("whole", whole), ("window5", window)):
         for state, vec in (("raw", "coords"), ("centered", "centered")):
-            sample = trials.balanced_subset(df, stats.SILHOUETTE_ROWS // 5) if name == "window5" and df.count() > stats.SILHOUETTE_ROWS else df
-            part = stats.separability(sample, vec, {"class": "class_label", "subject": "subject"}, f"{name}_{state}", "window_index" if name == "window5" else None)
+            sample = whole_trials(df) if name == "window5" and df.count() > stats.SILHOUETTE_ROWS else None
+            part = stats.separability(df, vec, {"class": "class_label", "subject": "subject"}, f"{name}_{state}", "window_index" if name == "window5" else None, sample)
             found = part if found is None else found.unionByName(part)
     sinks.csv(found, f"{out}/separability_metrics", "overwrite")
     fold = trials.folds(whole.select(*KEY), 5, trials.SEED, [("subject", "int"), ("session", "str"), ("trial_id", "int")]).select("trial_uid", "fold")
