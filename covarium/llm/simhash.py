@@ -6,26 +6,29 @@ differ in at most three bits agree on one of four 16-bit blocks; each node goes
 into four tries, one for each block, whose first 16 levels allow no error.
 Below them, pairs of trie nodes are walked together: the four pairs of
 children follow, a pair of unlike children costs one bit, and a pair over the
-budget is pruned.  A trie with many leaves is dealt over tasks by node pairs of
-the next eight levels, so no task holds an unbounded bucket.  Each task returns
+budget is pruned.  A trie with many leaves is cut into tries that agree on twelve
+more bits, one of four groups of them, and only what is still large is dealt over
+tasks by node pairs of the next eight levels, so no task holds an unbounded bucket.  Each task returns
 a spanning star for each of its local classes instead of all links; classes are
 then joined over tasks by alternating star contractions.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covarium.llm.base import materialise, without
+from covarium.llm.base import materialise, small
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
 SEED = 42
-#: A bucket with more nodes than this is dealt over tasks by pairs of 8-bit prefixes.
+#: A bucket with more nodes than this is cut by 12 further bits, then dealt over tasks by pairs of 8-bit prefixes.
 BUCKET_NODES = 2048
 #: So many node pairs are walked at once; more wait on a stack.
 FRONTIER = 400_000
@@ -160,24 +163,38 @@ def _rest(fp, band: int):
     return F.shiftleft(high, right).bitwiseOR(low) if left else low
 
 
+def _by_size(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` of buckets (x_band, x_block) of at most BUCKET_NODES rows, and those of larger ones or None."""
+    sizes = materialise(rows.groupBy("x_band", "x_block").count().where(f"count > {BUCKET_NODES}").select(F.col("x_band").alias("s_band"), F.col("x_block").alias("s_block")), "hot")
+    if sizes.limit(1).count() == 0:
+        return rows, None
+    other = F.broadcast(sizes) if small(sizes) else sizes
+    hot = (F.col("x_band") == F.col("s_band")) & (F.col("x_block") == F.col("s_block"))
+    return rows.join(other, hot, "left_anti"), rows.join(other, hot, "left_semi")
+
+
 def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(u, v): links that connect all of ``nodes`` (column x_fp, distinct) within ``max_bits`` (at most 3) bits."""
     fp = F.col("x_fp")
     each = [F.struct(F.lit(b).alias("x_band"), F.shiftrightunsigned(fp, 48 - 16 * b).bitwiseAND(F.lit(0xFFFF).cast("long")).alias("x_block"), _rest(fp, b).alias("x_rest")) for b in range(4)]
     rows = nodes.select("x_fp", F.inline(F.array(*each)))
-    sizes = materialise(rows.groupBy("x_band", "x_block").count().where(f"count > {BUCKET_NODES}").select(F.col("x_band").alias("s_band"), F.col("x_block").alias("s_block")), "hot")
     none = F.lit(-1).cast("long")
     cols = ["x_band", "x_block", "x_lo", "x_hi", "x_side", "x_rest", "x_fp"]
-    if sizes.limit(1).count() == 0:
-        dealt = rows.select("x_band", "x_block", none.alias("x_lo"), none.alias("x_hi"), F.lit(0).alias("x_side"), "x_rest", "x_fp")
-    else:
-        hot = (F.col("x_band") == F.col("s_band")) & (F.col("x_block") == F.col("s_block"))
-        cold = rows.join(sizes, hot, "left_anti").select("x_band", "x_block", none.alias("x_lo"), none.alias("x_hi"), F.lit(0).alias("x_side"), "x_rest", "x_fp")
+    parts = []
+    for level in (0, 1):
+        if level:  # texts within three bits agree on one of four groups of 12 of the other 48 bits as well
+            cuts = [F.struct((F.col("x_block") + F.lit((k + 1) << 16) + F.shiftleft(F.shiftrightunsigned("x_rest", 36 - 12 * k).bitwiseAND(F.lit(0xFFF).cast("long")), 20)).alias("x_block")) for k in range(4)]
+            rows = rows.select("x_band", "x_rest", "x_fp", F.inline(F.array(*cuts)))
+        cold, rows = _by_size(rows)
+        parts.append(cold.select("x_band", "x_block", none.alias("x_lo"), none.alias("x_hi"), F.lit(0).alias("x_side"), "x_rest", "x_fp"))
+        if rows is None:
+            break
+    if rows is not None:
         own = F.shiftrightunsigned("x_rest", 40)
         masks = F.array(*[F.lit(m).cast("long") for m in range(256) if m.bit_count() <= max_bits])
-        more = rows.join(sizes, hot, "left_semi").withColumn("x_own", own).withColumn("x_mask", F.explode(masks)).withColumn("x_mate", F.col("x_own").bitwiseXOR(F.col("x_mask")))
-        more = more.select("x_band", "x_block", F.least("x_own", "x_mate").alias("x_lo"), F.greatest("x_own", "x_mate").alias("x_hi"), (F.col("x_own") > F.col("x_mate")).cast("int").alias("x_side"), "x_rest", "x_fp")
-        dealt = cold.unionByName(more)
+        more = rows.withColumn("x_own", own).withColumn("x_mask", F.explode(masks)).withColumn("x_mate", F.col("x_own").bitwiseXOR(F.col("x_mask")))
+        parts.append(more.select("x_band", "x_block", F.least("x_own", "x_mate").alias("x_lo"), F.greatest("x_own", "x_mate").alias("x_hi"), (F.col("x_own") > F.col("x_mate")).cast("int").alias("x_side"), "x_rest", "x_fp"))
+    dealt = reduce(lambda a, b: a.unionByName(b), parts)
     dealt = dealt.repartition("x_band", "x_block", "x_lo", "x_hi").sortWithinPartitions("x_band", "x_block", "x_lo", "x_hi")
     return dealt.select(*cols).mapInPandas(_local_stars(max_bits), "u bigint, v bigint").distinct()
 
@@ -228,10 +245,3 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return prints.join(of, F.col("x_fp") == F.col("c_fp"), "left").select(
         F.col("x_id").alias(id_col), F.lower(F.lpad(F.hex("x_fp"), 16, "0")).alias("fingerprint"), F.col("x_component").alias("component_id")
     )
-
-
-def keep_one_of_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the row of the smallest id of each class; rows without an id stay."""
-    found = near_classes(docs, id_col, text_col)
-    drops = materialise(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("drop_id")), "near")
-    return without(docs, drops, id_col)
