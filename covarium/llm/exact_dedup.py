@@ -6,6 +6,10 @@ each task one row.  A length that no two rows share cannot form a shared pair,
 hence the pair count contains the length count.  Only rows of pairs that occur
 twice or more reach level 3, where their whole content is hashed and counted.
 The text itself is never shuffled, only digests are.
+
+Which pairs are shared is told to the scan by a map of WORDS * 64 bits, one bit
+for each hash of a pair, whose size is the same for any input: a row whose bit
+is set goes on, and one that goes on by a collision only costs its hash.
 """
 
 from __future__ import annotations
@@ -13,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covarium.llm.base import BROADCAST_ROWS, ascii_lower, materialise
+from covarium.llm.base import HOT_ROWS, ascii_lower, join_spread, materialise, small
 
 PREFIX_CHARS = 64
+#: Rows of the map of shared pairs, 16 bytes each; each has 64 bits.
+WORDS = 1 << 20
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
@@ -28,21 +34,29 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ruled out is null unless ``digest_all``.  An empty table gives no rows.
     Other columns are not read.
     """
+    found = _grouped(docs, id_col, text_col, digest_all)
+    return found.select(F.col("x_id").alias(id_col), "keep_id", "group_size", "kept", F.col("x_hash").alias("text_sha256"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, digest_all: bool) -> DataFrame:
+    """(x_id, x_sig, x_hash, keep_id, group_size, kept); x_sig is a 64-bit hash of the normalised text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     start = F.substring(text, 1, PREFIX_CHARS)
     pair = [F.octet_length(text).alias("x_len"), F.xxhash64(ascii_lower(start)).alias("x_prefix")]
 
-    shared = materialise(docs.select(*pair).groupBy("x_len", "x_prefix").count().where("count > 1").select("x_len", "x_prefix"), "pairs")
-    rows = docs.select(F.col(id_col).alias("x_id"), text.alias("x_text"), *pair)
-    if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        rows = rows.join(F.broadcast(shared.withColumn("x_open", F.lit(True))), ["x_len", "x_prefix"], "left")
-    else:  # too many to send to each executor: every row counts as surviving, which only costs more hashing
-        rows = rows.withColumn("x_open", F.lit(True))
-    whole = F.sha2(ascii_lower(F.col("x_text")), 256)
-    rows = rows.select(
-        "x_id", F.monotonically_increasing_id().alias("x_row"), "x_len", F.coalesce("x_open", F.lit(False)).alias("x_open"),
-        (whole if digest_all else F.when(F.col("x_open"), whole)).alias("x_hash"),
-    )
+    shared = docs.select(*pair).groupBy("x_len", "x_prefix").count().where("count > 1").select(F.xxhash64("x_len", "x_prefix").alias("h"))
+    place = lambda h: F.pmod(h, F.lit(WORDS)).cast("int")
+    bit = lambda h: F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int")
+    of_bit = F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("h")))
+    marks = materialise(shared.groupBy(place(F.col("h")).alias("m_word")).agg(F.bit_or(of_bit).alias("m_bits")), "pairs")
+
+    rows = docs.select(F.col(id_col).alias("x_id"), text.alias("x_text"), F.xxhash64(*pair).alias("x_pair"), pair[0])
+    rows = rows.join(F.broadcast(marks), place(F.col("x_pair")) == F.col("m_word"), "left")  # at most WORDS rows
+    is_open = F.coalesce(F.call_function("shiftright", F.col("m_bits"), bit(F.col("x_pair"))).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))
+    lowered = ascii_lower(F.col("x_text"))
+    rows = rows.select("x_id", F.monotonically_increasing_id().alias("x_row"), "x_len", is_open.alias("x_open"), lowered.alias("x_text"))
+    whole = F.sha2(F.col("x_text"), 256)
+    rows = rows.select("x_id", "x_row", "x_len", "x_open", F.xxhash64("x_text").alias("x_sig"), (whole if digest_all else F.when(F.col("x_open"), whole)).alias("x_hash"))
     rows = materialise(rows, "digests")
 
     groups = (
@@ -50,13 +64,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.max(F.struct("x_id", "x_row")).alias("x_best"), F.count(F.lit(1)).alias("x_size"))
         .where("x_size > 1")
     )
-    groups = materialise(groups.select(F.col("x_hash").alias("g_hash"), F.col("x_len").alias("g_len"), "x_best", "x_size"), "groups")
-    return rows.join(groups, (F.col("x_hash") == F.col("g_hash")) & (F.col("x_len") == F.col("g_len")), "left").select(
-        F.col("x_id").alias(id_col),
-        F.when(F.col("x_size").isNull(), F.col("x_id")).otherwise(F.col("x_best.x_id")).alias("keep_id"),
-        F.coalesce("x_size", F.lit(1)).cast("long").alias("group_size"),
-        F.when(F.col("x_size").isNull(), F.lit(True)).otherwise(F.col("x_row") == F.col("x_best.x_row")).alias("kept"),
-        F.col("x_hash").alias("text_sha256"),
+    groups = materialise(groups.select(F.col("x_hash").alias("g_hash"), "x_best", "x_size"), "groups")
+    met = join_spread(rows, "x_hash", groups, "g_hash", "x_size", "x_row", HOT_ROWS)
+    size, best = F.col("x_size"), F.col("x_best")
+    return met.select(
+        "x_id", "x_sig", "x_hash",
+        F.when(size.isNull(), F.col("x_id")).otherwise(best["x_id"]).alias("keep_id"),
+        F.coalesce(size, F.lit(1)).cast("long").alias("group_size"),
+        F.when(size.isNull(), F.lit(True)).otherwise(F.col("x_row") == best["x_row"]).alias("kept"),
     )
 
 
@@ -66,14 +81,14 @@ def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Dropped rows are joined away by id and content; only where a group repeats an id, hence
     drops a row that looks like the one that stays, are rows told apart by a shuffle of the rest.
     """
-    found = exact_groups(docs, id_col, text_col)
-    drops = found.where("not kept").select(F.col(id_col).alias("drop_id"), F.col("text_sha256").alias("drop_hash"), F.col(id_col).eqNullSafe(F.col("keep_id")).alias("same"))
+    found = _grouped(docs, id_col, text_col, False)
+    drops = found.where("not kept").select(F.col("x_id").alias("drop_id"), F.col("x_sig").alias("drop_sig"), F.col("x_id").eqNullSafe(F.col("keep_id")).alias("same"))
     drops = materialise(drops.distinct(), "drops")
     other = drops.where("not same")
-    if other.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if small(other):
         other = F.broadcast(other)
-    left = docs.withColumn("covarium_hash", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
-    left = left.join(other, F.col(id_col).eqNullSafe(F.col("drop_id")) & (F.col("covarium_hash") == F.col("drop_hash")), "left_anti")
+    left = docs.withColumn("covarium_sig", F.xxhash64(ascii_lower(F.coalesce(F.col(text_col), F.lit("")))))
+    left = left.join(other, F.col(id_col).eqNullSafe(F.col("drop_id")) & (F.col("covarium_sig") == F.col("drop_sig")), "left_anti")
     if drops.where("same").limit(1).count():
-        left = left.dropDuplicates([id_col, "covarium_hash"])
-    return left.drop("covarium_hash")
+        left = left.dropDuplicates([id_col, "covarium_sig"])
+    return left.drop("covarium_sig")
