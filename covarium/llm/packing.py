@@ -2,8 +2,8 @@
 
 Texts are counted in tokens (words plus one end mark), texts longer than the
 largest length are cut into pieces of that length, and pieces are dealt by a
-hash over shards of about SHARD_PIECES; texts are never moved, only ids and
-lengths.  In a shard, pieces are taken by decreasing length.  A piece goes into
+hash of their row's number over shards of about SHARD_PIECES; texts are never
+moved, only ids and lengths.  In a shard, pieces are taken by decreasing length.  A piece goes into
 the open bin that it leaves the least room in; where none has room, the length
 is opened whose cost per token that it can still be filled with is least; in
 the end each bin shrinks to the smallest permitted length that holds its
@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from covarium.llm.base import materialise
+
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 SHARD_PIECES = 20_000
 #: Cost of a sequence of c tokens: OVERHEAD + c + c * c / ATTENTION.
@@ -69,18 +71,20 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     """A row per bin: bin_id, capacity, used, n_pieces, doc_ids, starts, lengths (of pieces, in tokens of their text).
 
     Every token of every row is in one bin.  Null and empty texts have one token, their end
-    mark; null ids are carried; repeated rows are packed each; ties go by id.  An empty
-    table gives no rows.  Other columns are not read.
+    mark; null ids are carried; repeated rows are packed each; ties go by id.  Which rows
+    share a shard follows the order in which the table is read.  An empty table gives no
+    rows.  Other columns are not read.
     """
     capacities = tuple(sorted(capacities))
     top = capacities[-1]
-    n = docs.count()
+    rows = docs.select(F.col(id_col).alias("x_id"), tokens_of(text_col).alias("x_n"), F.monotonically_increasing_id().alias("x_row"))
+    rows = materialise(rows, "lengths")
+    n = rows.agg(F.coalesce(F.sum(F.ceil(F.col("x_n") / top)), F.lit(0))).first()[0]
     shards = max(1, -(-n // shard_pieces))
-    rows = docs.select(F.col(id_col).alias("x_id"), tokens_of(text_col).alias("x_n"))
     start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("x_n") - 1, F.lit(top).cast("long")))
-    pieces = rows.select("x_id", "x_n", start.alias("x_start"))
-    pieces = pieces.select("x_id", "x_start", F.least(F.lit(top), F.col("x_n") - F.col("x_start")).cast("long").alias("x_len"))
-    pieces = pieces.withColumn("x_shard", F.pmod(F.xxhash64("x_id", "x_start", "x_len"), F.lit(shards)).cast("long"))
+    pieces = rows.select("x_id", "x_n", "x_row", start.alias("x_start"))
+    size = F.least(F.lit(top), F.col("x_n") - F.col("x_start")).cast("long")
+    pieces = pieces.select("x_id", "x_start", size.alias("x_len"), F.pmod(F.xxhash64("x_row", "x_start"), F.lit(shards)).cast("long").alias("x_shard"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
