@@ -5,7 +5,8 @@ counted over accepted ones, one over rejected ones.  A character's probability
 after up to ORDER characters is interpolated from the longest context down:
 p(c | h) = (n(hc) + MASS * p(c | shorter h)) / (n(h) + MASS), so a context
 counts as far as it has been seen.  The mean difference of log-probabilities
-over a URL is compared with a threshold calibrated on the labelled URLs.
+over a whole URL is compared with a threshold calibrated on labelled URLs that
+were not counted: one in HELD, by a hash of the URL.
 
 Counts are taken per distinct gram of ORDER + 1 characters, with partial
 aggregation; shorter grams are sums over that table, so the URLs are cut up
@@ -17,12 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covarium.llm.base import BROADCAST_ROWS, UPPER, LOWER, materialise
+from covarium.llm.base import BROADCAST_ROWS, LOWER, UPPER, join_spread, materialise, small
 
 #: Verdict, host, path.  Fixed values.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 ORDER = 3
 MASS = 4.0
+HELD = 5
 #: Characters a URL can hold, for the shortest context's uniform distribution.
 SYMBOLS = 256
 #: Scores are binned to 1/BINS for calibration, between -LIMIT and LIMIT.
@@ -48,15 +50,15 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def _grams(rows: DataFrame) -> DataFrame:
-    """Explode x_text into x_gram, one for each of its characters."""
-    padded = F.concat(F.lit(_START * ORDER), F.col("x_text"))
-    at = F.explode_outer(F.when(F.col("x_text") != "", F.sequence(F.lit(1), F.char_length("x_text"))))
-    return rows.withColumn("x_at", at).where("x_at is not null").withColumn("x_gram", F.substring(padded, F.col("x_at"), F.lit(ORDER + 1))).drop("x_at")
+    """Explode x_text into x_gram, one for each of its characters, in one pass over the text."""
+    rows = rows.where("x_text <> ''").withColumn("x_chars", F.split(F.concat(F.lit(_START * ORDER), F.col("x_text")), ""))
+    gram = F.transform(F.sequence(F.lit(0), F.size("x_chars") - ORDER - 1), lambda i: F.concat(*[F.get("x_chars", i + k) for k in range(ORDER + 1)]))
+    return rows.withColumn("x_gram", F.explode(gram)).drop("x_chars", "x_text")
 
 
 def gram_ratios(texts: DataFrame) -> DataFrame:
     """(x_gram, x_ratio) for each gram of ``texts`` (x_text, x_verdict: allow, block or null, x_times)."""
-    grams = _grams(texts)
+    grams = _grams(texts.select("x_text", "x_verdict", "x_times"))
     n = {v: F.sum(F.when(F.col("x_verdict") == v, F.col("x_times")).otherwise(0)).cast("double") for v in ("allow", "block")}
     counts = materialise(grams.groupBy("x_gram").agg(n["allow"].alias("a"), n["block"].alias("b")), "grams")
     total = counts.agg(F.coalesce(F.sum("a"), F.lit(0.0)), F.coalesce(F.sum("b"), F.lit(0.0))).first()  # two numbers
@@ -97,23 +99,25 @@ def _cut(scored: DataFrame) -> float:
 def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A row per input row: id, host, path, rule, verdict, score.
 
-    Null urls, and those without ``://``, have empty host and path and, having no
-    characters, score 0.  Equal host and path get equal verdicts; without labelled
-    URLs of both kinds the threshold is 0.  Ids may be null or repeat; an empty table
+    Null urls, and those without ``://``, have empty host and path; null and empty urls,
+    having no characters, score 0.  Equal urls get equal verdicts; without held-out labelled
+    urls of both kinds the threshold is 0.  Ids may be null or repeat; an empty table
     gives no rows; other columns are not read.
     """
-    rows = pages.select(F.col(id_col).alias("x_id"), host_of(F.col(url_col)).alias("x_host"), path_of(F.col(url_col)).alias("x_path"))
-    rows = rows.withColumn("x_rule", rule_of(F.col("x_host"), F.col("x_path"), rules)).withColumn("x_text", F.concat("x_host", "x_path"))
-    texts = materialise(rows.groupBy("x_text").agg(F.first("x_rule.verdict").alias("x_verdict"), F.count(F.lit(1)).alias("x_times")), "urls")
-    ratios = materialise(gram_ratios(texts), "ratios").withColumnRenamed("x_gram", "r_gram")
-    small = ratios.limit(broadcast_rows + 1).count() <= broadcast_rows
-    met = _grams(texts).join(F.broadcast(ratios) if small else ratios, F.col("x_gram") == F.col("r_gram"))
-    score = met.groupBy("x_text", "x_verdict", "x_times").agg(F.round(F.avg("x_ratio"), 9).alias("x_score"))
-    score = materialise(score, "scores")
-    cut = _cut(score)
-    score = score.select(F.col("x_text").alias("s_text"), "x_score")
-    out = rows.join(score, F.col("x_text") == F.col("s_text"), "left").withColumn("x_score", F.coalesce("x_score", F.lit(0.0)))
+    rows = pages.select(F.col(id_col).alias("x_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("x_text"), F.monotonically_increasing_id().alias("x_row"))
+    rule = rule_of(host_of(F.col("x_text")), path_of(F.col("x_text")), rules)
+    texts = rows.groupBy("x_text").agg(F.count(F.lit(1)).alias("x_times")).withColumn("x_verdict", rule["verdict"]).withColumn("x_no", F.monotonically_increasing_id())
+    texts = materialise(texts.withColumn("x_held", F.pmod(F.xxhash64("x_text"), F.lit(HELD)) == 0), "urls")
+    counted = texts.withColumn("x_verdict", F.when(~F.col("x_held"), F.col("x_verdict")))
+    ratios = materialise(gram_ratios(counted), "ratios").withColumnRenamed("x_gram", "r_gram")
+    met = _grams(texts.select("x_text", "x_no")).join(F.broadcast(ratios) if small(ratios, rows=broadcast_rows) else ratios, F.col("x_gram") == F.col("r_gram"))
+    score = met.groupBy("x_no").agg(F.round(F.avg("x_ratio"), 9).alias("x_score")).withColumnRenamed("x_no", "s_no")
+    score = texts.join(score, F.col("x_no") == F.col("s_no"), "left").withColumn("x_score", F.coalesce("x_score", F.lit(0.0)))
+    score = materialise(score.select(F.col("x_text").alias("s_text"), "x_verdict", "x_times", "x_held", "x_score"), "scores")
+    cut = _cut(score.where("x_held"))
+    out = join_spread(rows, "x_text", score.select("s_text", "x_times", "x_score"), "s_text", "x_times", "x_row")
+    out = out.select("x_id", "x_score", host_of(F.col("x_text")).alias("host"), path_of(F.col("x_text")).alias("path")).withColumn("x_rule", rule_of(F.col("host"), F.col("path"), rules))
     return out.select(
-        F.col("x_id").alias(id_col), F.col("x_host").alias("host"), F.col("x_path").alias("path"), F.col("x_rule.rule").alias("rule"),
+        F.col("x_id").alias(id_col), "host", "path", F.col("x_rule.rule").alias("rule"),
         F.coalesce("x_rule.verdict", F.when(F.col("x_score") >= cut, "allow").otherwise("block")).alias("verdict"), F.col("x_score").alias("score"),
     )

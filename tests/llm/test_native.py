@@ -4,9 +4,12 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+import xxhash
 
 from covarium.llm import decontam, exact_dedup, secret_scan, url_filter
 
@@ -26,8 +29,10 @@ def low(t):
     return (t or "").translate({c: c + 32 for c in range(65, 91)})
 
 
-@pytest.mark.parametrize("digest_all", [True, False])
-def test_exact_groups(spark, digest_all):
+@pytest.mark.parametrize("digest_all,hot,words", [(True, 1000, 1 << 20), (False, 1000, 1 << 20), (False, 1, 1), (True, 2, 2)])
+def test_exact_groups(spark, monkeypatch, digest_all, hot, words):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", hot)  # hot groups are sent, others gathered; a full map opens every row
+    monkeypatch.setattr(exact_dedup, "WORDS", words)
     got = exact_dedup.exact_groups(docs(spark, TEXTS), digest_all=digest_all).collect()
     assert len(got) == len(TEXTS)
     groups = defaultdict(list)
@@ -186,23 +191,53 @@ def brute_score(texts, order=3, mass=url_filter.MASS):
     return out
 
 
+def held_out(u):
+    return np.uint64(xxhash.xxh64_intdigest((u or "").encode(), 42)).view(np.int64) % url_filter.HELD == 0
+
+
+def brute_cut(scored):
+    """The middle of the gap with the best balanced accuracy; (score, verdict) of each held-out labelled row."""
+    scored = [(math.floor(s * url_filter.BINS + 0.5), v) for s, v in scored]
+    n = Counter(v for _, v in scored)
+    if len(n) < 2:
+        return 0.0
+    bins, best = sorted({s for s, _ in scored}), (-1, 0)
+    for low, b in zip([None, *bins], bins):
+        gain = sum(v == "allow" and s >= b for s, v in scored) / n["allow"] + sum(v == "block" and s < b for s, v in scored) / n["block"]
+        if gain > best[0]:
+            best = (gain, (b if low is None else (b + low) / 2) / url_filter.BINS)
+    return best[1]
+
+
 @pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
 def test_urls(spark, broadcast_rows):
-    rows = [(i, u) for i, u in enumerate(URLS)] + [(None, "http://z.net/spam")]
+    rnd = random.Random(4)
+    urls = URLS + [f"https://{rnd.choice(['a', 'shop', 'm'])}.{host}{rnd.choice(['/en/', '/de/', '/fr/', '/x/'])}{rnd.choice('abcdef') * 3}{i}?{q}={i}" for i in range(60) for host, q in (("spam.net", "ref"), ("good.example.net", "page"), ("x.org", "id"), ("free.io", "ref"))]
+    rows = [(i, u) for i, u in enumerate(urls)] + [(None, "http://z.net/spam")]
     pages = spark.createDataFrame([(i, u, "h", 1.0) for i, u in rows], "page_id bigint, url string, html string, score double")
     got = url_filter.judged(pages, broadcast_rows=broadcast_rows).collect()
     assert len(got) == len(rows)
-    texts = Counter(split_url(u) for _, u in rows)
-    labelled = [("".join(k), (brute_rule(*k) or (None, None))[1], n) for k, n in texts.items()]
-    want = brute_score(labelled)
+    rule = {u: brute_rule(*split_url(u)) or (None, None) for _, u in rows}
+    times = Counter(u or "" for _, u in rows)
+    want = brute_score([(u, rule.get(u, (None, None))[1] if not held_out(u) else None, n) for u, n in times.items()])
+    cut = brute_cut([(want[u], rule[u][1]) for _, u in rows if u and rule[u][1] and held_out(u)])
     for r in got:
         u = dict(rows)[r.page_id]
         assert (r.host, r.path) == split_url(u)
-        rule = brute_rule(r.host, r.path)
-        assert r.rule == (rule[0] if rule else None)
-        assert not rule or r.verdict == rule[1]
-        assert abs(r.score - want[r.host + r.path]) < 1e-8
-        assert r.verdict in ("allow", "block")
-    free = [(r.score, r.verdict) for r in got if r.rule is None]
-    assert max([s for s, v in free if v == "block"], default=-99) < min([s for s, v in free if v == "allow"], default=99)
+        assert r.rule == rule[u][0]
+        assert abs(r.score - want[u or ""]) < 1e-8
+        assert r.verdict == (rule[u][1] or ("allow" if r.score >= cut else "block"))
+    assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
     assert url_filter.judged(pages.limit(0)).count() == 0
+
+
+def test_long_and_hot_urls(spark, monkeypatch):
+    rnd = random.Random(5)
+    long = "http://long.io/" + "".join(rnd.choices("abcdefgh/", k=100_000))
+    rows = [(i, "http://hot.net/x") for i in range(3000)] + [(3000 + i, f"http://a.org/fr/{i}") for i in range(30)] + [(None, long), (None, None), (None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    began = time.time()
+    got = url_filter.judged(pages).collect()
+    assert time.time() - began < 30 and len(got) == len(rows)
+    assert Counter((r.host, r.rule, r.verdict) for r in got if r.rule) == {("hot.net", "net/", "block"): 3000, ("a.org", "org/fr/", "allow"): 30}
+    assert {r.score for r in got if not r.host} == {0.0}
