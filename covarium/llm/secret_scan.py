@@ -15,6 +15,7 @@ table of at most |alphabet|^2 numbers.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -28,42 +29,60 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]{12,}", 0, 16),  # a shorter match fills its run, so the length may stand in the pattern
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 )
+#: What a text that a rule matches holds once it is lower-cased; spares the other texts the patterns.
+LITERALS = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "access": ("akia",)}
 MARKOV = "markov"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{12,}"
+#: A candidate holds a letter; plain numbers aren't secrets.
+LETTER = "[A-Za-z]"
 #: Whole tokens without digits: secrets that no base rule finds would otherwise pass for identifiers.
 ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z_-]{5,}(?![A-Za-z0-9+/_=-])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 #: Random strings are learnt from the distinct values of at most so many characters that the base rules find.
 SAMPLE_CHARS = 256
-#: Least log-likelihood ratio per character, in nats.
+#: Least log-likelihood ratio per character and of a whole candidate, in nats.
 MARGIN = 0.3
+TOTAL = 6.0
 MASS = 16.0
 _KINDS = [k for k, *_ in BASE] + [MARKOV]
 
 
-def _found(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
-    """Array of (kind, pos, gap, size, value, ok): all leftmost non-overlapping matches of one pattern."""
+def _found(text: Column, kind: int, pattern: str, group: int, test) -> Column:
+    """Array of (kind, pos, gap, size, value, ok): all leftmost non-overlapping matches of one pattern; ``test(value)`` gives ok."""
     rx = F.lit(pattern)
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, rx, F.lit(0)).alias("hit"), F.regexp_extract_all(text, rx, F.lit(group)).alias("value"))
+    hit = F.regexp_extract_all(text, rx, F.lit(0))
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hit.alias("hit"), (F.regexp_extract_all(text, rx, F.lit(group)) if group else hit).alias("value"))
     shaped = F.transform(zipped, lambda z, i: F.struct(
         F.lit(kind).alias("kind"), i.alias("pos"), F.char_length(z["gap"]).cast("long").alias("gap"),
-        F.char_length(z["hit"]).cast("long").alias("size"), z["value"].alias("value"), (F.char_length(z["value"]) >= least).alias("ok")))
-    return F.when(text.rlike(pattern), shaped)
+        F.char_length(z["hit"]).cast("long").alias("size"), z["value"].alias("value"), test(z["value"]).alias("ok")))
+    return F.filter(shaped, lambda z: z["size"].isNotNull())
+
+
+def _may_hold(text: Column, kind: str) -> Column:
+    """Whether a text can match a base rule."""
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, [low.contains(x) for x in LITERALS[kind]]) if kind in LITERALS else F.lit(True)
+
+
+def _codes(token: Column) -> Column:
+    """The place of each character in ALPHABET, from 1; 0 for others.  One pass over the token."""
+    places = F.array(*[F.lit(ALPHABET.find(chr(i)) + 1) for i in range(128)])
+    return F.transform(F.split(token, ""), lambda x: F.coalesce(F.get(places, F.ascii(x)), F.lit(0)))
 
 
 def _pairs(tokens: DataFrame) -> DataFrame:
-    """Counts of (a, b): codes of neighbouring characters of x_token; code 0 is the start, or a character outside ALPHABET."""
-    code = F.transform(F.sequence(F.lit(1), F.char_length("x_token")), lambda i: F.instr(F.lit(ALPHABET), F.substring("x_token", i, F.lit(1))))
-    coded = tokens.where(F.char_length("x_token") > 0).select(code.alias("c"))
-    pair = F.transform("c", lambda x, i: F.struct(F.coalesce(F.get("c", i - 1), F.lit(0)).alias("a"), x.alias("b")))
-    return coded.select(F.inline(pair)).groupBy("a", "b").count()
+    """Counts of (a, b): codes of neighbouring characters of x_token, x_n times each; code 0 is the start, or a character outside ALPHABET."""
+    coded = tokens.where(F.char_length("x_token") > 0).select("x_n", _codes(F.col("x_token")).alias("c"))
+    before = F.concat(F.array(F.lit(0)), F.slice("c", 1, F.size("c") - 1))
+    pair = F.zip_with(before, F.col("c"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return coded.select("x_n", F.inline(pair)).groupBy("a", "b").agg(F.sum("x_n").alias("count"))
 
 
 def train(random: DataFrame, ordinary: DataFrame) -> list[float]:
-    """log P(b | a, random) - log P(b | a, ordinary) at a * (|ALPHABET| + 1) + b.  Each sample has a column x_token.
+    """log P(b | a, random) - log P(b | a, ordinary) at a * (|ALPHABET| + 1) + b.  Each sample has columns x_token and x_n.
 
     Pairs are smoothed by MASS times the character's own frequency, so characters that
-    identifiers hardly hold count after any other.
+    identifiers hardly hold count after any other.  A token counts x_n times.
     """
     k = len(ALPHABET) + 1
     tables = []
@@ -78,12 +97,12 @@ def train(random: DataFrame, ordinary: DataFrame) -> list[float]:
     return [x - y for x, y in zip(*tables)]
 
 
-def _ratio(token: Column, model: list[float]) -> Column:
-    """Mean log-likelihood ratio of a token's characters."""
+def _odd(token: Column, model: list[float], margin: float) -> Column:
+    """Whether a token's log-likelihood ratio reaches TOTAL, and ``margin`` for each character."""
     k, table = len(ALPHABET) + 1, F.array(*[F.lit(round(x, 6)) for x in model])
-    code = F.transform(F.sequence(F.lit(1), F.char_length(token)), lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1))))
     last = F.struct(F.lit(0).alias("a"), F.lit(0.0).alias("s"))
-    return F.aggregate(code, last, lambda acc, b: F.struct(b.alias("a"), (acc["s"] + F.get(table, acc["a"] * k + b)).alias("s")), lambda acc: acc["s"] / F.char_length(token))
+    total = F.aggregate(_codes(token), last, lambda acc, b: F.struct(b.alias("a"), (acc["s"] + F.get(table, acc["a"] * k + b)).alias("s")), lambda acc: acc["s"])
+    return token.rlike(LETTER) & (total >= F.greatest(F.lit(TOTAL), F.lit(margin) * F.char_length(token)))
 
 
 def _placed(hits: DataFrame) -> DataFrame:
@@ -105,20 +124,24 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mar
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("x_id"), text.alias("x_text"), F.xxhash64(text).alias("x_sig"))
-    kinds = [_found(F.col("x_text"), i, rx, group, least) for i, (_, rx, group, least) in enumerate(BASE)]
-    kinds.append(_found(F.col("x_text"), len(BASE), CANDIDATE, 0, 0))
-    none = F.array().cast("array<struct<kind:int,pos:int,gap:bigint,size:bigint,value:string,ok:boolean>>")
-    each = F.concat(*[F.coalesce(F.filter(k, lambda z: z["size"].isNotNull()), none) for k in kinds])
-    hits = materialise(rows.select("x_id", "x_sig", F.explode_outer(each).alias("h")).where("h is not null").select("x_id", "x_sig", "h.*"), "secrets")
+    text = F.col("x_text")
+    shape = "array<struct<kind:int,pos:int,gap:bigint,size:bigint,value:string,ok:boolean>>"
+    none = F.array().cast(shape)
+    kinds = [F.when(_may_hold(text, k) & text.rlike(rx), _found(text, i, rx, group, lambda v, n=least: F.char_length(v) >= n)).otherwise(none) for i, (k, rx, group, least) in enumerate(BASE)]
+    hits = materialise(rows.select("x_id", "x_sig", F.explode_outer(F.concat(*kinds)).alias("h")).where("h is not null").select("x_id", "x_sig", "h.*"), "secrets")
 
     words = rows.select("x_text")
-    for _, rx, *_ in BASE:
-        words = words.withColumn("x_text", F.regexp_replace("x_text", rx, " "))
-    words = words.select(F.explode_outer(F.regexp_extract_all(F.col("x_text"), F.lit(ORDINARY), F.lit(0))).alias("x_token"))
-    values = hits.where(f"kind < {len(BASE)} and ok and char_length(value) <= {SAMPLE_CHARS}").select(F.col("value").alias("x_token")).distinct()
+    for k, rx, *_ in BASE:
+        words = words.withColumn("x_text", F.when(_may_hold(text, k), F.regexp_replace("x_text", rx, " ")).otherwise(text))
+    words = words.select(F.explode_outer(F.regexp_extract_all(text, F.lit(ORDINARY), F.lit(0))).alias("x_token"))
+    words = materialise(words.groupBy("x_token").agg(F.count(F.lit(1)).alias("x_n")), "words")
+    values = hits.where(f"ok and char_length(value) <= {SAMPLE_CHARS}").select(F.col("value").alias("x_token"), F.lit(1).alias("x_n")).distinct()
     model = train(values, words)
 
-    odd = hits.where(f"kind < {len(BASE)}").unionByName(hits.where(f"kind = {len(BASE)}").withColumn("ok", _ratio(F.col("value"), model) > margin))
+    judged = F.when(text.rlike(CANDIDATE), _found(text, len(BASE), CANDIDATE, 0, lambda v: _odd(v, model, margin))).otherwise(none)
+    judged = materialise(rows.select("x_id", "x_sig", F.transform(judged, lambda z: z.dropFields("value")).alias("h")), "candidates")
+    judged = judged.where(F.exists("h", lambda z: z["ok"])).select("x_id", "x_sig", F.inline("h"))
+    odd = hits.drop("value").unionByName(judged)
     spans = F.sort_array(F.collect_list(F.struct("start", "kind", "end")))
     of = _placed(odd).groupBy("x_id", "x_sig").agg(spans.alias("x_spans")).select(F.col("x_id").alias("h_id"), F.col("x_sig").alias("h_sig"), "x_spans")
     met = rows.select("x_id", "x_sig").join(of, F.col("x_id").eqNullSafe(F.col("h_id")) & (F.col("x_sig") == F.col("h_sig")), "left")
