@@ -7,8 +7,9 @@ document's probabilities are the mean over all of its positions.  All windows of
 a batch of documents advance together, so a time step is one small matrix
 product, and memory depends on the batch, not on a text's length.
 
-The network is fitted on the driver by backpropagation through time, on at most
-PER_LANG labelled rows of each language with at most TRAIN_CHARS characters.
+The network is fitted on the driver by backpropagation through time, on
+WINDOWS_A_DOC random windows of each of at most PER_LANG labelled rows of each
+language; texts of any length serve, and only windows are sent to the driver.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from covarium.llm.base import materialise
 from covarium.llm.toxicity import fold
 
 PER_LANG = 300
-TRAIN_CHARS = 20_000
+#: More values of ``lang`` than this are an error: then the column doesn't hold languages.
 MAX_LANGS = 500
 WINDOW = 64
 HIDDEN = 8
@@ -156,38 +158,54 @@ def _bytes(texts) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
 
 
-def training_windows(texts: list[bytes], y: np.ndarray, windows: int = WINDOWS_A_DOC, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Some windows of each text at random places."""
-    rng, xs, ys = np.random.default_rng(seed), [], []
-    for t, one in zip(texts, y):
-        for at in rng.integers(0, max(1, len(t) - WINDOW + 1), size=windows if len(t) > WINDOW else 1):
-            x = np.full(WINDOW, PAD, np.int16)
-            piece = _LOW[np.frombuffer(t[at : at + WINDOW], np.uint8)]
-            x[: len(piece)] = piece
-            xs.append(x)
-            ys.append(one)
-    return np.array(xs, np.int16).reshape(-1, WINDOW), np.array(ys, np.int64)
+def training_windows(texts: list[bytes], seeds: list[int], windows: int = WINDOWS_A_DOC) -> tuple[list[bytes], np.ndarray]:
+    """Some windows of each text at random places, and the text that each is from."""
+    out, of = [], []
+    for i, (t, seed) in enumerate(zip(texts, seeds)):
+        places = np.random.default_rng(seed).integers(0, max(1, len(t) - WINDOW + 1), size=windows if len(t) > WINDOW else 1)
+        out += [t[at : at + WINDOW] for at in places]
+        of += [i] * len(places)
+    return out, np.array(of, np.int64)
+
+
+def laid_out(windows: list[bytes]) -> np.ndarray:
+    x = np.full((len(windows), WINDOW), PAD, np.int16)
+    for row, w in zip(x, windows):
+        row[: len(w)] = _LOW[np.frombuffer(w, np.uint8)]
+    return x
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> ByteGru | None:
     """A network from rows outside the held-out fold (crc32 of the id, modulo 5, is 0) with text and lang; None where there are none.
 
-    At most ``per_lang`` rows of each language are used, those whose ids hash lowest; the
-    limit is applied in each task first, so no language is gathered whole.
+    At most ``per_lang`` different rows of each language are used, those whose ids hash lowest;
+    the limit is applied in each task first, so no language is gathered whole.  More than
+    MAX_LANGS languages are an error.
     """
     text = F.col("text").cast("string")
-    ok = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.char_length(text).between(1, TRAIN_CHARS)) & (fold(F.col("doc_id"), 5) != 0)
-    ids = docs.where(ok).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    salted = ids.withColumn("k", F.row_number().over(W.partitionBy("lang", F.pmod("h", F.lit(32))).orderBy("h", "doc_id"))).where(f"k <= {per_lang}").drop("k")
-    chosen = salted.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(f"k <= {per_lang}")
-    chosen = chosen.select(F.col("doc_id").alias("c_id")).limit(per_lang * MAX_LANGS).distinct()
-    found = docs.where(ok).join(F.broadcast(chosen), F.col("doc_id") == F.col("c_id")).select("doc_id", text.alias("text"), "lang").toPandas()
+    ok = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length(text) > 0) & (fold(F.col("doc_id"), 5) != 0)
+    key = ["h", "doc_id", "sig"]
+    rows = docs.where(ok).select("doc_id", "lang", text.alias("text"), F.xxhash64("doc_id").alias("h"), F.xxhash64(text).alias("sig"))
+    ids = rows.select("lang", *key)
+    salted = ids.withColumn("k", F.dense_rank().over(W.partitionBy("lang", F.pmod("h", F.lit(32))).orderBy(*key))).where(f"k <= {per_lang}").drop("k").distinct()
+    chosen = salted.withColumn("k", F.dense_rank().over(W.partitionBy("lang").orderBy(*key))).where(f"k <= {per_lang}").select(F.col("lang").alias("c_lang"), *[F.col(k).alias(f"c_{k}") for k in key])
+    chosen = materialise(chosen, "sample")
+    if chosen.select("c_lang").distinct().count() > MAX_LANGS:
+        raise ValueError(f"lang has more than {MAX_LANGS} values")
+
+    def cut(batches):
+        for b in batches:
+            found, of = training_windows(_bytes(b["text"]), (b["sig"].to_numpy() ^ b["h"].to_numpy()).view(np.uint64).tolist())
+            yield pd.DataFrame({"lang": b["lang"].to_numpy()[of], "h": b["h"].to_numpy()[of], "sig": b["sig"].to_numpy()[of], "piece": found})
+
+    same = (F.col("lang") == F.col("c_lang")) & (F.col("doc_id") == F.col("c_doc_id")) & (F.col("sig") == F.col("c_sig"))
+    found = rows.join(F.broadcast(chosen), same, "left_semi").dropDuplicates(["lang", *key])  # at most per_lang * MAX_LANGS rows
+    found = found.select("lang", "text", "h", "sig").mapInPandas(cut, "lang string, h bigint, sig bigint, piece binary").toPandas()
     if not len(found):
         return None
-    found = found.sort_values(["doc_id", "lang", "text"], kind="stable")
+    found = found.sort_values(["h", "sig", "lang", "piece"], kind="stable")
     langs = sorted(found["lang"].unique())
-    x, y = training_windows(_bytes(found["text"]), found["lang"].map(langs.index).to_numpy())
-    return ByteGru(langs).fit(x, y)
+    return ByteGru(langs).fit(laid_out([bytes(p) for p in found["piece"]]), found["lang"].map(langs.index).to_numpy())
 
 
 def languages(docs: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
