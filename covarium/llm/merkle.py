@@ -11,6 +11,7 @@ range's records or FANOUT nodes, so no task gathers an archive.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -114,28 +115,52 @@ def audit(a: DataFrame, b: DataFrame, range_bytes: int = RANGE_BYTES, fanout: in
     return sure.unionByName(doubt)
 
 
+def _fields(head: bytes) -> dict[bytes, bytes]:
+    """Header lines after the first, names in lower case."""
+    pairs = (line.partition(b":") for line in head.split(b"\r\n")[1:])
+    return {name.strip().lower(): value.strip() for name, _, value in pairs}
+
+
+def _name(fields: dict[bytes, bytes]) -> str | None:
+    name = fields.get(b"warc-record-id")
+    return name.decode("utf-8", "replace") if name else None
+
+
 def parse_archive(raw: bytes) -> Iterator[tuple[int, int, str | None, str]]:
-    """(offset, length, record id, sha256) of each record of an uncompressed WARC file; a torn record ends it with the bytes there are."""
+    """(offset, length, record id, sha256) of each record of a WARC file; a torn record ends it with the bytes there are.
+
+    Of a compressed file each gzip member is a record, and its offset, length and hash are those
+    of the member's bytes in the file; a member that can't be read ends it.
+    """
     at = 0
     while at < len(raw):
-        head = raw.find(b"\r\n\r\n", at)
-        fields = {}
-        for line in raw[at : head if head >= 0 else len(raw)].split(b"\r\n")[1:]:
-            name, _, value = line.partition(b":")
-            fields[name.strip().lower()] = value.strip()
-        size = fields.get(b"content-length", b"")
-        end = min(len(raw), head + 4 + int(size) + 4) if head >= 0 and size.isdigit() else len(raw)
-        name = fields.get(b"warc-record-id")
-        yield at, end - at, name.decode("utf-8", "replace") if name else None, hashlib.sha256(raw[at:end]).hexdigest()
+        if raw[at : at + 2] == b"\x1f\x8b":
+            member, head, end = zlib.decompressobj(31), b"", len(raw)
+            try:
+                for cut in range(at, len(raw), 1 << 20):
+                    part = member.decompress(raw[cut : cut + (1 << 20)])
+                    head = head if b"\r\n\r\n" in head else head + part
+                    if member.eof:
+                        end = min(cut + (1 << 20), len(raw)) - len(member.unused_data)
+                        break
+            except zlib.error:
+                pass
+            fields = _fields(head.partition(b"\r\n\r\n")[0])
+        else:
+            stop = raw.find(b"\r\n\r\n", at)
+            fields = _fields(raw[at : stop if stop >= 0 else len(raw)])
+            size = fields.get(b"content-length", b"")
+            end = min(len(raw), stop + 4 + int(size) + 4) if stop >= 0 and size.isdigit() else len(raw)
+        yield at, end - at, _name(fields), hashlib.sha256(raw[at:end]).hexdigest()
         at = end
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(path, offset, length, record_id, sha256) of the records of uncompressed WARC files, one file at a time in a task."""
+    """(path, offset, length, record_id, sha256) of the records of WARC files, compressed or not, of at most 2 GB, one file at a time in a task."""
     def run(batches):
         for b in batches:
             for name, raw in zip(b["path"], b["content"]):
-                yield pd.DataFrame([(name, *r) for r in parse_archive(bytes(raw))], columns=["path", "offset", "length", "record_id", "sha256"])
+                yield pd.DataFrame([(name, *r) for r in parse_archive(bytes(raw or b""))], columns=["path", "offset", "length", "record_id", "sha256"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, "path string, offset bigint, length bigint, record_id string, sha256 string")

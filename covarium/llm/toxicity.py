@@ -123,7 +123,7 @@ class TextCnn:
         cuts = np.c_[begin, begin + n + 1].ravel()
         pooled, at = [], []
         for w, tables in zip(WIDTHS, self._folded()):
-            x = np.zeros((len(seq), FILTERS), np.float32)
+            x = np.zeros((len(seq), FILTERS), self.emb.dtype)
             for j in range(w):
                 for k in range(seq.shape[1]):
                     x[: len(seq) - j] += tables[j].take(seq[j:, k], axis=0)
@@ -158,8 +158,29 @@ class TextCnn:
     def score(self, texts: list[bytes]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(texts), -30, 30)))
 
+    def gradients(self, ids: np.ndarray, n: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Of the mean log loss, for emb, each of conv, bias, out and base; they flow to the position each filter's maximum lies at."""
+        keep = np.unique(np.r_[ids.ravel(), BUCKETS])  # only rows in use are multiplied out
+        self._tables = [[self._rows(c[j], keep) for j in range(len(c))] for c in self.conv]
+        seq, pool, at = self._pooled(ids, n, where=True)
+        act = np.maximum(pool + self.bias, 0)
+        p = 1 / (1 + np.exp(-np.clip(act @ self.out + self.base[0], -30, 30)))
+        d = ((p - y) / len(y)).astype(self.emb.dtype)
+        d_act = np.outer(d, self.out) * (act > 0)
+        g_emb, g_conv = np.zeros_like(self.emb), []
+        for k, (w, c) in enumerate(zip(WIDTHS, self.conv)):
+            dk, g = d_act[:, k * FILTERS : (k + 1) * FILTERS], np.zeros_like(c)
+            for j in range(w):
+                rows = seq[np.minimum(at[k] + j, len(seq) - 1)]  # text, filter, part of the word
+                g[j] = np.einsum("bf,bfd->df", dk, self.emb[rows].sum(axis=2))
+                back = np.repeat(dk[..., None] * c[j].T[None], rows.shape[2], axis=1)
+                np.add.at(g_emb, rows.ravel(), back.reshape(-1, DIM))
+            g_conv.append(g)
+        g_emb[BUCKETS] = 0
+        return [g_emb, *g_conv, d_act.sum(0), act.T @ d, np.array([d.sum()], d.dtype)]
+
     def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.01, seed: int = 7) -> TextCnn:
-        """Adam on the log loss; gradients flow to the position each filter's maximum lies at."""
+        """Adam on the log loss."""
         rng = np.random.default_rng(seed)
         parts = [word_ids(texts[at:to]) for at, to in _blocks(texts)]
         ids, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -170,26 +191,8 @@ class TextCnn:
             order = rng.permutation(len(texts))
             for some in np.array_split(order, max(1, len(order) // batch)):
                 own = np.concatenate([ids[begin[i] : begin[i + 1]] for i in some]) if len(some) else ids[:0]
-                keep = np.unique(np.r_[own.ravel(), BUCKETS])  # only rows in use are multiplied out
-                self._tables = [[self._rows(c[j], keep) for j in range(len(c))] for c in self.conv]
-                seq, pool, at = self._pooled(own, n[some], where=True)
-                act = np.maximum(pool + self.bias, 0)
-                p = 1 / (1 + np.exp(-np.clip(act @ self.out + self.base[0], -30, 30)))
-                d = ((p - y[some]) / len(some)).astype(np.float32)
-                g_out, g_base = act.T @ d, np.array([d.sum()], np.float32)
-                d_act = np.outer(d, self.out) * (act > 0)
-                g_bias, g_emb, g_conv = d_act.sum(0), np.zeros_like(self.emb), []
-                for k, (w, c) in enumerate(zip(WIDTHS, self.conv)):
-                    dk, g = d_act[:, k * FILTERS : (k + 1) * FILTERS], np.zeros_like(c)
-                    for j in range(w):
-                        rows = seq[np.minimum(at[k] + j, len(seq) - 1)]  # text, filter, part of the word
-                        g[j] = np.einsum("bf,bfd->df", dk, self.emb[rows].sum(axis=2))
-                        back = np.repeat(dk[..., None] * c[j].T[None], rows.shape[2], axis=1)
-                        np.add.at(g_emb, rows.ravel(), back.reshape(-1, DIM))
-                    g_conv.append(g)
-                g_emb[BUCKETS] = 0
                 t += 1
-                for i, g in enumerate([g_emb, *g_conv, g_bias, g_out, g_base]):
+                for i, g in enumerate(self.gradients(own, n[some], y[some])):
                     m[i] += 0.1 * (g - m[i])
                     v[i] += 0.01 * (g * g - v[i])
                     params[i] -= rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.99**t)) + 1e-6)
@@ -197,7 +200,7 @@ class TextCnn:
         return self
 
     def _rows(self, c: np.ndarray, keep: np.ndarray) -> np.ndarray:
-        out = np.zeros((BUCKETS + 1, FILTERS), np.float32)
+        out = np.zeros((BUCKETS + 1, FILTERS), self.emb.dtype)
         out[keep] = self.emb[keep] @ c
         return out
 
@@ -232,14 +235,15 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
     """A classifier, and thresholds by language (key None: all).
 
     Learns from labelled rows outside the held-out fold (crc32 of the id, modulo 4, is 2), at
-    most ``train_rows`` of them, those whose ids hash lowest; one in five calibrates.
+    most ``train_rows`` of them, those whose ids hash lowest; one in five calibrates.  Of
+    an id on several texts as many rows serve as twice ``train_rows`` rows in all allow.
     """
     ids = labels.where("toxic is not null and doc_id is not null").where(fold(F.col("doc_id"), 4) != 2)
     ids = ids.groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").alias("l_toxic"))
     ids = ids.orderBy(F.xxhash64("l_id"), "l_id").limit(train_rows)  # at most train_rows pairs of numbers
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang").where(f"char_length(text) <= {TRAIN_CHARS}")
     rows = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "lang", "l_toxic", F.xxhash64("doc_id", F.lit(5)).alias("h"))
-    found = rows.toPandas().sort_values(["h", "doc_id"], kind="stable").head(2 * train_rows)
+    found = rows.orderBy("h", "doc_id", F.xxhash64("text"), "lang").limit(2 * train_rows).toPandas()
     model = TextCnn()
     y = found["l_toxic"].to_numpy(np.float32)
     if len(found) < 2 or y.min() == y.max():  # nothing to learn from: the base rate

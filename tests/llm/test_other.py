@@ -1,5 +1,6 @@
 """Merkle audit, packing, suffix dedup, SimHash, toxicity and language ID against brute force."""
 
+import gzip
 import hashlib
 import random
 from collections import Counter, defaultdict
@@ -55,11 +56,55 @@ def test_warc_round_trip(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes("".join(texts).encode())
     got = merkle.read_archives(spark, f"file://{tmp_path}/a.warc").collect()
     assert {(r.offset, r.length, r.sha256) for r in got} == want
+    members = [gzip.compress(t.encode()) for t in texts]
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(members))
+    packed = sorted(merkle.read_archives(spark, f"file://{tmp_path}/b.warc.gz").collect(), key=lambda r: r.offset)
+    assert [r.length for r in packed] == [len(m) for m in members] and [r.sha256 for r in packed] == [hashlib.sha256(m).hexdigest() for m in members]
+    assert [r.record_id for r in packed] == [r.record_id for r in sorted(got, key=lambda r: r.offset)]
+    torn = b"".join(members)[:-9]
+    assert sum(n for _, n, *_ in merkle.parse_archive(torn)) == len(torn)
     assert list(merkle.parse_archive(b"")) == [] and len(list(merkle.parse_archive("".join(texts).encode()[:-9]))) == len(texts)
 
 
 # --- packing
 
+def naive_pack(lengths, capacities):
+    """Best fit by looking at every open bin."""
+    left, bins, of = sum(lengths), [], {}
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        w = lengths[i]
+        room = [(c - u - w, b) for b, (c, u) in enumerate(bins) if c - u >= w]
+        if room:
+            b = min(room)[1]
+        else:
+            c = min((c for c in capacities if c >= w), key=lambda c: (packing.cost(c) / min(c, left), c))
+            b = len(bins)
+            bins.append((c, 0))
+        bins[b] = (bins[b][0], bins[b][1] + w)
+        of[i] = b
+        left -= w
+    return sorted((min(c for c in capacities if c >= u), u) for _, u in bins)
+
+
+def test_pack_equals_a_naive_best_fit():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 50, 400):
+        for capacities in ((64,), (16, 32, 64), packing.CAPACITIES):
+            lengths = rng.integers(1, capacities[-1] + 1, n).tolist()
+            of, size = packing.pack(lengths, capacities)
+            used = np.bincount(of, weights=lengths).astype(int).tolist()
+            assert sorted(zip(size, used)) == naive_pack(lengths, capacities)
+
+
+def test_shards_hold_pieces_of_long_texts_and_rows_without_ids(spark):
+    rows = [(None, "w " * 3000)] * 60 + [(i, "short text") for i in range(20)]
+    got = packing.best_fit(spark.createDataFrame(rows, "doc_id long, text string"), capacities=(10, 100), shard_pieces=200).collect()
+    shards = {}
+    for r in got:
+        shards[r.bin_id.split("-")[0]] = shards.get(r.bin_id.split("-")[0], 0) + r.n_pieces
+    assert sum(shards.values()) == 60 * 31 + 20 and max(shards.values()) < 300
+
+
 def test_pack_fills_bins():
     rnd = random.Random(2)
     for _ in range(30):
@@ -185,8 +230,6 @@ def test_near_classes(spark, monkeypatch):
     assert sorted(map(tuple, simhash.near_classes(docs(spark, rows)).collect()), key=str) == want
     monkeypatch.setattr(simhash, "BUCKET_NODES", 2)  # dealt by node pairs
     assert sorted(map(tuple, simhash.near_classes(docs(spark, rows)).collect()), key=str) == want
-    kept = sorted(r.doc_id for r in simhash.keep_one_of_class(docs(spark, rows)).where("doc_id is not null").collect())
-    assert kept == sorted(i for (i, _), r in zip(rows, root) if i is not None and least[r] == i)
     assert simhash.near_classes(docs(spark, [], True)).count() == 0
 
 
@@ -247,6 +290,41 @@ def test_toxicity_long_text(monkeypatch):
     assert np.allclose(model.logits([t, b""]), want, atol=1e-4)
 
 
+def naive_logit(model, text):
+    """The classifier word by word."""
+    ids, n = toxicity.word_ids([text])
+    vectors = [model.emb[row].sum(axis=0) for row in ids] + [np.zeros(toxicity.DIM)] * max(toxicity.WIDTHS)
+    pooled = []
+    for w, c in zip(toxicity.WIDTHS, model.conv):
+        pooled += list(np.max([sum(vectors[at + j] @ c[j] for j in range(w)) for at in range(n[0] + 1)], axis=0))
+    return float(np.maximum(np.array(pooled) + model.bias, 0) @ model.out + model.base[0])
+
+
+def test_toxicity_forward_and_gradient(monkeypatch):
+    """A forward pass by loops, and backpropagation against finite differences."""
+    rng = np.random.default_rng(3)
+    texts = [b"one two three four", b"", b"two", "äh two one".encode(), b"five six seven one two"]
+    model = toxicity.TextCnn(seed=5)
+    model.emb, model.conv, model.bias, model.out, model.base = model.emb.astype(float), [c.astype(float) for c in model.conv], rng.normal(size=len(model.bias)), model.out.astype(float), model.base.astype(float)
+    assert np.allclose(model.logits(texts), [naive_logit(model, t) for t in texts], atol=1e-9)
+    y, (ids, n) = np.array([1.0, 0, 1, 0, 1]), toxicity.word_ids(texts)
+
+    def loss():
+        z = np.array([naive_logit(model, t) for t in texts])
+        return float(np.mean(np.log1p(np.exp(z)) - y * z))
+
+    params = [model.emb, *model.conv, model.bias, model.out, model.base]
+    for w, grad in zip(params, model.gradients(ids, n, y)):
+        places = [(r, k) for r in ids[:4].ravel() for k in (0, 7)] if w is model.emb else [tuple(rng.integers(0, k) for k in w.shape) for _ in range(15)]
+        for place in places:
+            old, both = w[place], []
+            for step in (1e-6, -1e-6):
+                w[place] = old + step
+                both.append(loss())
+            w[place] = old
+            assert abs((both[0] - both[1]) / 2e-6 - grad[place]) < 1e-6, place
+
+
 def test_best_cut():
     score, y = np.array([0.9, 0.8, 0.2]), np.array([1.0, 1, 0])
     assert toxicity.best_cut(score, y, cases=1) == pytest.approx(0.5)
@@ -284,6 +362,10 @@ def test_languages(spark):
     model = language_id.train(data)
     got = language_id.languages(data, model).alias("g").join(data.select(F.col("doc_id").alias("i"), "lang"), F.col("doc_id") == F.col("i")).where("held_out").collect()
     assert len(got) > 150 and np.mean([r.lang == r.lang_pred for r in got]) > 0.95
+    by_lang = {}
+    for r in got:
+        by_lang.setdefault(r.lang, []).append(r.lang == r.lang_pred)
+    assert len(by_lang) > 3 and all(np.mean(v) > 0.9 for k, v in by_lang.items() if k), by_lang
     odd = docs(spark, [(1, None), (2, ""), (3, "12 34 !"), (4, "é"), (None, "the and of"), (5, "the quick " * 50_000)])
     rows = {r.doc_id: r for r in language_id.languages(odd, model).collect()}
     assert [rows[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and rows[4].lang_pred in model.langs and 0 < rows[5].score <= 1
@@ -291,6 +373,20 @@ def test_languages(spark):
     assert language_id.train(odd) is None and {r.lang_pred for r in language_id.languages(odd, None).collect()} == {"und"}
 
 
+def test_language_sample(spark, monkeypatch):
+    """An id on many texts, equal rows and long texts keep the sample bounded; too many languages are an error."""
+    rows = [(1, f"text number {i}", "en") for i in range(50)] + [(2, "equal rows", "en")] * 50 + [(3, "sehr lang " * 20_000, "de")] + [(4, None, "de"), (None, "no id", "de")]
+    data = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language_id.ByteGru, "fit", lambda self, x, y: (seen.append((len(x), self.langs, y.tolist())), self)[1])
+    language_id.train(data, per_lang=10)
+    (n, langs, y), = seen
+    assert langs == ["de", "en"] and y.count(0) == language_id.WINDOWS_A_DOC and 10 <= y.count(1) <= 11
+    monkeypatch.setattr(language_id, "MAX_LANGS", 1)
+    with pytest.raises(ValueError):
+        language_id.train(data)
+
+
 def test_gru_groups(monkeypatch):
     g = language_id.ByteGru(["a", "b"])
     texts = [b"x" * 700, b"", b"hello", b"y" * 64, bytes(range(97, 123)) * 40]
