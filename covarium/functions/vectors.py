@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,11 +64,14 @@ def smat(packed: Column, n: int) -> Column:
 
 
 def group_mean_vector(df: DataFrame, by: list[str], vec: str, out: str = "mean", size: str = "fit_n") -> DataFrame:
-    """Mean of each entry of ``vec`` by group, partially aggregated entry by entry."""
-    long = df.select(*by, F.posexplode(vec).alias("v_pos", "v_val"))
-    each = long.groupBy(*by, "v_pos").agg(F.avg("v_val").alias("v_mean"), F.count(F.lit(1)).alias(size))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("v_pos", "v_mean"))), lambda s: s["v_mean"])
-    return each.groupBy(*by).agg(ordered.alias(out), F.max(size).alias(size))
+    """Mean of each entry of ``vec`` by group, over rows that have one; a row carries its vector, not an entry each, into the partial aggregates."""
+    rows = df.where(F.col(vec).isNotNull()).select(*by, array_to_vector(F.col(vec)).alias("v_vec"))
+    return rows.groupBy(*by).agg(vector_to_array(Summarizer.mean(F.col("v_vec"))).alias(out), F.count(F.lit(1)).alias(size))
+
+
+def bound(value: Column, then) -> Column:
+    """``then`` applied to ``value``, which is computed once however often ``then`` uses it."""
+    return F.transform(F.array(value), then)[0]
 
 
 # closed forms for a symmetric 2 x 2 matrix (a, b; b, d)
@@ -76,10 +81,13 @@ def eigenvalues2(a: Column, b: Column, d: Column) -> tuple[Column, Column]:
     return half - gap, half + gap
 
 
-def function2(a: Column, b: Column, d: Column, f) -> tuple[Column, Column, Column]:
-    """f(matrix) as (a, b, d), through its two eigenvalues; equal ones give f times the identity."""
+def function2(a: Column, b: Column, d: Column, f) -> Column:
+    """f(matrix) as the array (a, b, b, d), through its two eigenvalues; equal ones give f times the identity."""
+    def through(m):
+        same = m["high"] == m["low"]
+        slope = F.when(same, F.lit(0.0)).otherwise((m["fh"] - m["fl"]) / F.when(same, F.lit(1.0)).otherwise(m["high"] - m["low"]))
+        return bound(F.struct(slope.alias("k"), (m["fl"] - slope * m["low"]).alias("c")), lambda s: F.array(s["k"] * m["a"] + s["c"], s["k"] * m["b"], s["k"] * m["b"], s["k"] * m["d"] + s["c"]))
+
     low, high = eigenvalues2(a, b, d)
-    same = high == low
-    slope = F.when(same, F.lit(0.0)).otherwise((f(high) - f(low)) / F.when(same, F.lit(1.0)).otherwise(high - low))
-    base = f(low) - slope * low
-    return slope * a + base, slope * b, slope * d + base
+    entries = F.struct(a.alias("a"), b.alias("b"), d.alias("d"), low.alias("low"), high.alias("high"))
+    return bound(entries, lambda e: bound(F.struct(*[e[k].alias(k) for k in ("a", "b", "d", "low", "high")], f(e["low"]).alias("fl"), f(e["high"]).alias("fh")), through))

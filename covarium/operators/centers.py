@@ -9,8 +9,6 @@ otherwise iterated over the cluster, one averaged tangent per step.
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +17,7 @@ from pyspark.sql import functions as F
 from covarium.functions import spd
 from covarium.functions.vectors import group_mean_vector, norm, sub
 from covarium.operators.trials import assert_label_free
+from covarium.sources.sinks import scratch
 
 GEOMETRIES = ("RAW", "LE", "AIRM", "EA")
 GROUPED_ROWS = 100_000
@@ -85,10 +84,10 @@ def _step(size: float):
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder of ``spark.checkpoint.dir``; where that is unset (one machine), in a temporary one."""
+    """Cut lineage in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="covarium-"))
+        context.setCheckpointDir(scratch(df.sparkSession))
     return df.checkpoint()
 
 

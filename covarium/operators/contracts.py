@@ -90,3 +90,27 @@ def constant_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     seen = df.agg(*[F.struct(F.countDistinct(c).alias("n"), F.sum(F.col(c).isNull().cast("long")).alias("z")).alias(c) for c in columns])
     pairs = F.array(*[F.struct(F.lit(f"{c}_constant").alias("check_name"), (F.greatest(F.col(c)["n"] - 1, F.lit(0)) + F.coalesce(F.col(c)["z"], F.lit(0))).cast("long").alias("violations")) for c in columns])
     return seen.select(F.inline(pairs)).withColumn("passed", F.col("violations") == 0)
+
+
+def compare(expected: DataFrame, observed: DataFrame, key: list[str], value: str) -> DataFrame:
+    """A summary against its contract: key, expected, observed, passed; a key that only one side has fails."""
+    want = expected.select(*[F.col(k).alias(f"w_{k}") for k in key], F.col(value).alias("expected"), F.lit(True).alias("w_there"))
+    got = observed.select(*key, F.col(value).alias("observed"), F.lit(True).alias("o_there"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"w_{k}")) for k in key])
+    met = got.join(want, same, "full")
+    passed = F.col("w_there").isNotNull() & F.col("o_there").isNotNull() & F.col("expected").eqNullSafe(F.col("observed"))
+    return met.select(*[F.coalesce(k, f"w_{k}").alias(k) for k in key], "expected", "observed", passed.alias("passed"))
+
+
+def join_one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join on a key that either side holds once; an error otherwise."""
+    for side, df in (("left", left), ("right", right)):
+        require_empty(duplicates(df, [key]), f"{key} repeats on the {side}")
+    return left.join(right, key)
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    """``rows`` with ``value`` of their key in ``table``; an error, as the rows pass, where the table lacks it."""
+    found = rows.join(table.select(key, F.col(value).alias("l_value")), key, "left")
+    missing = F.raise_error(F.concat(F.lit(f"no {value} for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(table.schema[value].dataType)
+    return found.withColumn(value, F.coalesce("l_value", missing)).drop("l_value")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -46,6 +48,28 @@ def predict(model, names: list, df: DataFrame, vec: str) -> DataFrame:
     return out.drop("x_vec", "x_pred", "x_prob", "x_raw")
 
 
+def probability_columns(df: DataFrame, names: list, probabilities: str = "probabilities") -> DataFrame:
+    """``df`` with a column probability__<class> for each class; names that collide are an error."""
+    new = [f"probability__{n}" for n in names]
+    if len({c.lower() for c in [*df.columns, *new]}) < len(df.columns) + len(new):
+        raise ValueError(f"probability columns collide: {new}")
+    return df.select("*", *[F.get(probabilities, F.lit(i)).alias(c) for i, c in enumerate(new)])
+
+
+def model_hash(model, names: list) -> str:
+    """SHA-256 of a fitted model's classes, coefficients and intercepts."""
+    state = hashlib.sha256("\x1f".join(map(str, names)).encode())
+    for part in (model.coefficientMatrix.toArray(), model.interceptVector.toArray()):
+        state.update(str(part.shape).encode() + np.ascontiguousarray(part, "<f8").tobytes())
+    return state.hexdigest()
+
+
+def confusion_cells(cells: DataFrame, names: list, by: list[str]) -> DataFrame:
+    """Confusion counts as columns, one row for each ``by``: cell__<truth>__<predicted>."""
+    each = [F.sum(F.when((F.col("truth") == t) & (F.col("predicted") == p), F.col("n")).otherwise(0)).cast("long").alias(f"cell__{t}__{p}") for t in names for p in names]
+    return cells.groupBy(*by).agg(*each)
+
+
 def logistic_probe(rows: DataFrame, label: str, vec: str, fold: str = "fold", **fit) -> DataFrame:
     """Out-of-fold predictions: rows with predicted and probabilities; one model per fold."""
     out = None

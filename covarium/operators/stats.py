@@ -209,6 +209,12 @@ def separability(coords: DataFrame, vec: str, labels: dict[str, str], name: str,
     return out
 
 
+def subject_structure(rows: DataFrame, vec: str, subject: str = "subject") -> DataFrame:
+    """How far subjects stay apart after a transform, over all rows: one row (silhouette, separation_ratio, n)."""
+    ratio = rms_distance_ratio(rows, subject, vec).select(F.col("ratio").alias("separation_ratio"))
+    return silhouette(rows, subject, vec).crossJoin(ratio).select("silhouette", "separation_ratio", "n")  # single rows
+
+
 def domain_components(coords: DataFrame, by: list[str], vec: str = "coords") -> DataFrame:
     """Log-Euclidean domain statistics: distance of the mean to the identity, RMS about the identity and about the mean."""
     m = group_mean_vector(coords, by, vec, "m", "n")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,6 +70,12 @@ def assert_label_free(df: DataFrame, allowed: set[str] = frozenset()) -> None:
         raise ValueError(f"a fit must not see {sorted(found)}")
 
 
+def label_free_signatures(functions: list) -> list[tuple[str, bool]]:
+    """(name, whether no parameter names a label) of functions that fit or transform targets."""
+    banned = ("label", "class", "truth", "y")
+    return [(f.__name__, not any(p == b or b != "y" and b in p for p in inspect.signature(f).parameters for b in banned)) for f in functions]
+
+
 def token(c: Column) -> Column:
     """Lower case, runs of other characters than a-z and 0-9 become one underscore, none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c.cast("string"))), "[^a-z0-9]+", "_"), "^_+|_+$", "")

@@ -81,7 +81,7 @@ def questions(t1: DataFrame, t2: DataFrame, failures: int = 0, rules: dict = Q_R
     """(question, verdict) from the pivots of both protocols; any failed primary row leaves all unassessed."""
     if failures:
         return t1.sparkSession.createDataFrame([(q, rules["technical_failure"]) for q in ("Q1", "Q2", "Q3")], "question string, verdict string")
-    d = subject_deltas(t1)
+    d = subject_deltas(t1, next(c for c in t1.columns if c not in ("RAW", "LE", "AIRM", "EA")))
     better = lambda g: F.sum((F.col(f"category_{g}") == "improved").cast("int"))
     a = d.agg(F.avg("delta_LE").alias("le"), F.avg("delta_AIRM").alias("airm"), better("LE").alias("le_n"), better("AIRM").alias("airm_n"), F.sum((F.col("category_LE") != F.col("category_AIRM")).cast("int")).alias("odd"))
     m1 = t1.agg(F.avg("LE").alias("le1"), F.avg("AIRM").alias("airm1"))
@@ -100,3 +100,8 @@ def aggregate_identity(results: DataFrame, by: list[str], value: str = "balanced
     """Rows whose AGGREGATE differs from the mean of splits A and B; must be empty."""
     r = results.groupBy(*by).agg(F.avg(F.when(F.col("split").isin("A", "B"), F.col(value))).alias("mean_ab"), F.max(F.when(F.col("split") == "AGGREGATE", F.col(value))).alias("aggregate"))
     return r.where(F.abs(F.col("mean_ab") - F.col("aggregate")) > tolerance)
+
+
+def failures(results: DataFrame, by: list[str]) -> DataFrame:
+    """Failed rows by ``by`` (source, kind, geometry, metric): by, n."""
+    return results.where("status = 'FAILED'").groupBy(*by).agg(F.count(F.lit(1)).alias("n"))

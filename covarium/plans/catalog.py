@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from covarium.functions import spd, vectors
-from covarium.functions.digest import uid_set_hash
+from covarium.functions.digest import set_hashes
 from covarium.operators import centers, contracts, covariance, gates, learn, protocol, stats, trials, verdicts
 from covarium.plans import bridge
 from covarium.sources.readers import table
@@ -137,7 +137,7 @@ def q12_balanced_subset(spark, d):
 
 @query(f"""WITH {_TRIALS} SELECT subject, count(*) AS n, sha256('{{"trial_uids":["' || string_agg(trial_uid, '","' ORDER BY trial_uid) || '"]}}') AS trial_uid_sha256 FROM trials GROUP BY 1""")
 def q13_uid_set_hash(spark, d):
-    return bridge.trial_table(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("n"), uid_set_hash(F.collect_list("trial_uid")).alias("trial_uid_sha256"))
+    return set_hashes(bridge.trial_table(spark, d), ["subject"], "trial_uid").withColumnRenamed("sha256", "trial_uid_sha256")
 
 
 @query(f"""WITH {_TRIALS}, t AS (SELECT DISTINCT subject AS target FROM trials)
@@ -252,8 +252,7 @@ def q25_first_by_min_key(spark, d):
 
 def _logs(spark, d):
     c = bridge.covariances(spark, d)
-    z = vectors.function2(F.col("cov")[0], F.col("cov")[1], F.col("cov")[3], F.log)
-    return c.withColumn("log", F.array(z[0], z[1], z[1], z[2])).withColumn("coords", vectors.svec(F.col("log"), 2))
+    return c.withColumn("log", vectors.function2(F.col("cov")[0], F.col("cov")[1], F.col("cov")[3], F.log)).withColumn("coords", vectors.svec(F.col("log"), 2))
 
 
 @query(f"WITH {_COV} SELECT l_suppkey, l_returnflag, fit_n, {_r('shrinkage')} AS shrinkage, {_r('a')} AS c00, {_r('b')} AS c01, {_r('d')} AS c11 FROM cov")
@@ -304,7 +303,7 @@ SELECT l_suppkey, {_r('(d + s) / (s * t)')} AS w00, {_r('-b / (s * t)')} AS w01,
 def q32_cov2_ea_mean_whiten(spark, d):
     m = centers.arithmetic_centers(bridge.covariances(spark, d), ["l_suppkey"])
     w = vectors.function2(F.col("mean")[0], F.col("mean")[1], F.col("mean")[3], lambda x: 1 / F.sqrt(x))
-    m = m.select("l_suppkey", "mean", *[c.alias(f"w{i}") for c, i in zip(w, ("00", "01", "11"))])
+    m = m.withColumn("w", w).select("l_suppkey", "mean", *[F.col("w")[k].alias(f"w{i}") for k, i in ((0, "00"), (1, "01"), (3, "11"))])
     a, b, e = F.col("w00"), F.col("w01"), F.col("w11")
     x, y, z = F.col("mean")[0], F.col("mean")[1], F.col("mean")[3]
     one = {"i00": a * a * x + 2 * a * b * y + b * b * z, "i01": a * b * x + (a * e + b * b) * y + b * e * z, "i11": b * b * x + 2 * b * e * y + e * e * z}
@@ -581,7 +580,7 @@ def q57_domain_shift_coordinates(spark, d):
 @query()
 def r58_geometry_gate(spark, d):
     """The full gate by subject: every statistic with its threshold."""
-    rows = gates.gate_rows(gates.evaluate_scopes(_cov4(spark, d).select("subject", "cov"), ["subject"]), ["subject"])
+    rows = gates.gate_rows(gates.evaluate_scopes(_cov4(spark, d).select("subject", F.concat_ws("-", F.col("l_suppkey").cast("string"), "l_returnflag").alias("trial_uid"), "cov"), ["subject"]), ["subject"])
     return rows.select("subject", "statistic", "threshold", "comparator", "required", "passed", "status")
 
 
@@ -591,3 +590,6 @@ def r59_mean_comparison(spark, d):
     le, airm, ea = (centers.fit_centers(c, g, ["subject"]) for g in ("LE", "AIRM", "EA"))
     out = stats.compare_means(le, airm, ea, ["subject"])
     return out.select("subject", "fit_n", *[r6(x).alias(x) for x in out.columns if x not in ("subject", "fit_n")])
+
+
+from covarium.plans import closed_forms  # noqa: E402, F401 - it registers its queries above

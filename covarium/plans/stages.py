@@ -81,8 +81,8 @@ def diagnostics(spark: SparkSession, src: str, out: str) -> None:
 
 def gate(spark: SparkSession, src: str, out: str) -> None:
     whole = _read(spark, out, "covariances").where("representation = 'WHOLE'")
-    both = protocol.calibration_halves(whole).where("part = 'calibration'").withColumn("protocol", F.lit("T2")).select("subject", "protocol", "split", "cov")
-    scopes = whole.select("subject", F.lit("T1").alias("protocol"), F.lit("ALL").alias("split"), "cov").unionByName(both)
+    both = protocol.calibration_halves(whole).where("part = 'calibration'").withColumn("protocol", F.lit("T2")).select("subject", "protocol", "split", "trial_uid", "cov")
+    scopes = whole.select("subject", F.lit("T1").alias("protocol"), F.lit("ALL").alias("split"), "trial_uid", "cov").unionByName(both)
     by = ["subject", "protocol", "split"]
     sinks.parquet(gates.gate_rows(gates.evaluate_scopes(scopes, by), by), f"{out}/gate", "overwrite")
     payload = gates.gate_payload(_read(spark, out, "gate")).first().asDict()
@@ -118,8 +118,14 @@ def write_report(spark: SparkSession, src: str, out: str) -> None:
     text["LOSO transductive results"], text["Calibration-to-held-out-run results"] = report.markdown(t1), report.markdown(t2)
     text["Metric-native MDM sanity check"], text["V1 leakage audit"] = report.markdown(mdm), report.markdown(leakage)
     text["Marginal domain diagnostics"] = report.markdown(_read(spark, out, "domain_shift"))
-    text["Frozen decision-rule verdicts"] = report.markdown(report.verdicts.questions(t1.withColumnRenamed("target", "subject"), t2, failed))
-    report.write(out, report.render("Geometry audit", text), {"loso_results": results, "mdm_results": mdm, "leakage_audit_results": leakage})
+    text["Frozen decision-rule verdicts"] = report.markdown(report.verdicts.questions(t1, t2, failed))
+    rows = results.select("status", "geometry", F.lit("logistic").alias("kind"), F.lit("native").alias("metric")).unionByName(mdm.select("status", "geometry", F.lit("mdm").alias("kind"), "metric"))
+    lost = report.verdicts.failures(rows, ["kind", "geometry", "metric"]).orderBy("kind", "geometry", "metric")
+    text["What is NOT justified"] = report.markdown(lost) if lost.limit(1).count() else "No fit failed; anything beyond the subjects, runs and decoders above is not shown."
+    means = _read(spark, out, "mean_comparison")
+    figures = report.figure_sources(results, means, leakage)
+    blocks = {"t1": t1, "t2": t2, "failures": lost, "domain_shift": _read(spark, out, "domain_shift")}
+    report.write(out, report.render("Geometry audit", text), {"loso_results": results, "mdm_results": mdm, "leakage_audit_results": leakage, "geometry_summary": report.long_summary(blocks), **figures})
 
 
 STAGES = {"prepare": prepare, "covariances": covariances, "coordinates": coordinates, "diagnostics": diagnostics, "gate": gate, "loso": loso, "report": write_report}

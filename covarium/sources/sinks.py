@@ -5,10 +5,21 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode and an error on a cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        shared = tempfile.mkdtemp(prefix="covarium-")
+    return f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
 def parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
