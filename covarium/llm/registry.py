@@ -62,6 +62,9 @@ QUERIES = {f.__name__: f for f in (
 
 _LOW = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Runs of other characters than words have.
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 ORACLE_SQL = {
     "op1_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOW.format('text')}) AS h FROM documents),
@@ -83,4 +86,27 @@ ORACLE_SQL = {
                CASE WHEN page_id % 211 = 5 THEN NULL WHEN page_id % 101 = 7 THEN sha256('altered' || a) ELSE a END AS sha256_b,
                CASE WHEN page_id % 211 = 5 THEN 'missing' WHEN page_id % 101 = 7 THEN 'corrupt' ELSE 'ok' END AS status
         FROM r""",
+    "op4_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+             s AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)),
+             r AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1),
+             q AS (SELECT doc_id, i, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS gap FROM s SEMI JOIN r USING (k)),
+             z AS (SELECT *, sum(CASE WHEN gap > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM q),
+             u AS (SELECT doc_id, run, min(i) AS lo, max(i) + 400 AS hi FROM z GROUP BY 1, 2),
+             p AS (SELECT u.*, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since FROM u),
+             m AS (SELECT p.doc_id, sum(hi - lo) AS removed, count(*) AS spans, max(hi) AS last, string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) AS kept FROM p JOIN d ON p.doc_id = d.doc_id GROUP BY 1)
+        SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN m ON d.doc_id = m.doc_id""",
+    "op9_decontamination": f"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOW.format('text')}, '{_GAP}'), lambda x: x <> '') AS w FROM documents),
+             b AS (SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array({_LOW.format('text')}, '{_GAP}'), lambda x: x <> '') AS w FROM benchmark),
+             bw AS (SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(w[j + 1 : j + 10], ' ') AS k FROM (SELECT item, w, unnest(range(0, greatest(len(w) - 9, 1))) AS j FROM b WHERE len(w) > 0)),
+             dw AS (SELECT doc_id, i, size, array_to_string(w[i + 1 : i + size], ' ') AS k FROM (SELECT doc_id, w, size, unnest(range(0, len(w) - size + 1)) AS i FROM d, (SELECT DISTINCT size FROM bw))),
+             hit AS (SELECT doc_id, item, i, dw.size FROM dw JOIN bw ON dw.k = bw.k AND dw.size = bw.size),
+             n AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS at FROM hit) GROUP BY 1),
+             t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN t ON d.doc_id = t.doc_id""",
 }

@@ -7,9 +7,9 @@ A byte goes if a string of SPAN bytes that covers it also starts elsewhere.
     anchor depends on the SPAN bytes after the start only, so equal strings have
     equal anchors, and with them an equal core, the bytes after the anchor that all
     its starts share.  Starts with one anchor are a block.  Only a core's hash, a
-    hash of the whole block, and positions leave the scan.
+    digest of the whole block, and positions leave the scan.
 2.  *Pre-aggregation.*  Cores that occur once end here.  Blocks that are the same
-    byte for byte collapse to one block with a count; where that count is above
+    (by core hash and BLAKE2 digest) collapse to one block with a count; where that count is above
     one, all of its starts are repeated.
 3.  *Merge.*  Different blocks with one core are fetched and indexed.  Every
     position of a block is a suffix over symbols of STEP bytes.  Blocks are dealt
@@ -17,7 +17,8 @@ A byte goes if a string of SPAN bytes that covers it also starts elsewhere.
     transforms are merged by refining their interleave: one stable pass by symbol
     for each symbol of depth moves the shard numbers to the order of longer
     prefixes.  Suffixes are not sorted again and not looked at.  Runs whose common
-    prefix reaches SPAN bytes are the repeated intervals.
+    prefix reaches SPAN bytes are the repeated intervals.  Symbols are ranks of
+    bytes that were compared, so no hash collision makes strings equal here.
 4.  A core with more blocks than a task should hold is dealt over tasks.  Strings
     that repeat within none of them, and one of each that does, are matched over
     tasks: first bands of BAND starts by a hash of the bytes that all their strings
@@ -121,9 +122,10 @@ def _blocks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         p = anchor[new]
         of = np.searchsorted(begin, lo, "right") - 1
         core = roll.of(p, p + CORE)
-        whole = _mix(roll.of(lo, hi + SPAN, _M2) + (hi - lo).astype(np.uint64) * np.uint64(1009) + (p - lo).astype(np.uint64), _M1)
-    base = begin[of]
-    return long[of], lo - base, hi - base, p - base, core.view(np.int64), whole.view(np.int64)
+    base, joined, digest = begin[of], raw.tobytes(), hashlib.blake2b
+    whole = np.frombuffer(b"".join([digest(joined[a:z], digest_size=8).digest() for a, z in zip(lo.tolist(), (hi + SPAN).tolist())]), np.int64)
+    whole = whole ^ ((p - lo) << 10) ^ (hi - lo)
+    return long[of], lo - base, hi - base, p - base, core.view(np.int64), whole
 
 
 def _sorted_places(key: np.ndarray) -> np.ndarray:
@@ -141,6 +143,43 @@ def _sorted_places(key: np.ndarray) -> np.ndarray:
     return (both & np.uint64((1 << shift) - 1)).astype(np.int64)
 
 
+def _unequal(raw: np.ndarray, q: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    """Which of the STEP-byte strings at ``q`` differ from those at ``rep``.
+
+    Neighbouring strings at equal distance from their representatives share all but a byte,
+    so each run of them is compared once, as one string.
+    """
+    far = np.flatnonzero(q != rep)
+    out = np.zeros(len(q), bool)
+    if not len(far):
+        return out
+    x, y = q[far], rep[far]
+    new = np.flatnonzero(np.r_[True, (x[1:] != x[:-1] + 1) | (y[1:] != y[:-1] + 1)])
+    length = np.diff(np.r_[new, len(far)])
+    begin = np.r_[0, np.cumsum(length + STEP - 1)]
+    inner = np.arange(begin[-1]) - np.repeat(begin[:-1], length + STEP - 1)
+    odd = raw[np.repeat(x[new], length + STEP - 1) + inner] != raw[np.repeat(y[new], length + STEP - 1) + inner]
+    seen = np.r_[0, np.cumsum(odd)]
+    at = np.arange(len(far)) - np.repeat(new, length) + np.repeat(begin[:-1], length)
+    out[far] = seen[at + STEP] > seen[at]
+    return out
+
+
+def _symbols(raw: np.ndarray, q: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Ranks of the STEP-byte strings at ``q``: equal ranks, equal bytes.  Hashes order them, and bytes are compared."""
+    order = np.argsort(hashes, kind="stable")
+    new = np.r_[True, hashes[order][1:] != hashes[order][:-1]][: len(order)]
+    symbol = np.empty(len(q), np.int64)
+    symbol[order] = np.cumsum(new) - 1
+    first = q[order[new]]
+    odd = np.flatnonzero(_unequal(raw, q, first[symbol]))
+    if len(odd):  # strings that share a hash with another one
+        whole = np.lib.stride_tricks.sliding_window_view(raw, STEP)
+        names: dict[bytes, int] = {}
+        symbol[odd] = [names.setdefault(whole[k].tobytes(), len(first) + len(names)) for k in q[odd]]
+    return symbol
+
+
 def merged_runs(texts: list[bytes], shards: int = SHARDS) -> list[np.ndarray]:
     """For each block, which of its starts (0 .. len - SPAN) begin a string that another start in ``texts`` begins too.
 
@@ -160,16 +199,13 @@ def classes(texts: list[bytes], shards: int = SHARDS) -> tuple[np.ndarray, np.nd
     size = np.array([len(t) for t in texts], np.int64)
     begin = np.r_[0, np.cumsum(size)]
     with np.errstate(over="ignore"):
-        roll = Rolling(np.frombuffer(b"".join(texts), np.uint8))
+        raw = np.frombuffer(b"".join(texts), np.uint8)
         per = size - STEP + 1  # positions with a symbol
         first = np.r_[0, np.cumsum(per)]
         of = np.repeat(np.arange(len(texts)), per)
         at = np.arange(first[-1]) - first[of]
         q = begin[of] + at
-        raw = roll.of(q, q + STEP)
-        order = np.argsort(raw)
-        symbol = np.empty(len(raw), np.int64)
-        symbol[order] = np.cumsum(np.r_[0, raw[order][1:] != raw[order][:-1]])[: len(raw)]
+        symbol = _symbols(raw, q, Rolling(raw).of(q, q + STEP))
     n = len(q)
     ends = STEP * len(texts)  # one end for each of a block's STEP interleaved strings
     is_last = at + STEP >= per[of]

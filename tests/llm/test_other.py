@@ -171,6 +171,20 @@ def test_repeats(spark, blocks):
     assert suffix_dedup.repeats(docs(spark, [], True)).count() == 0
 
 
+def test_colliding_symbols_do_not_make_strings_equal(spark, monkeypatch):
+    """With hashes of three bits nearly every symbol collides; what repeats is the same."""
+    rng = np.random.default_rng(9)
+    word = lambda n: bytes(rng.integers(97, 101, n).astype(np.uint8))
+    shared = [word(500), word(900)]
+    texts = [word(300) + shared[0] + word(200), shared[0] + word(100), word(450), shared[1] * 2, word(10) + shared[1][:450] + word(40), word(400)]
+    want = [w.tolist() for w in suffix_dedup.merged_runs(texts)]
+    seen = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    assert want == [[seen[t[i : i + 400]] > 1 for i in range(len(t) - 399)] for t in texts]
+    exact = suffix_dedup.Rolling.of
+    monkeypatch.setattr(suffix_dedup.Rolling, "of", lambda self, a, b, by=suffix_dedup._M1: exact(self, a, b, by) & np.uint64(7))
+    assert [w.tolist() for w in suffix_dedup.merged_runs(texts)] == want
+
+
 def test_blocks_of_pieces():
     """A text that is scanned in pieces gives the same starts."""
     rng = np.random.default_rng(0)
