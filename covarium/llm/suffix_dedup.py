@@ -405,7 +405,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
 
     spans = some.join(decided, (F.col("core") == F.col("d_core")) & (F.col("whole") == F.col("d_whole")))
     spans = spans.groupBy("x_id", "x_sig").agg(F.collect_set(F.transform("cuts", lambda c: F.struct((c["lo"] + F.col("x_lo")).alias("lo"), (c["hi"] + F.col("x_lo")).alias("hi")))).alias("spans"))
-    spans = materialise(spans.select(F.col("x_id").alias("p_id"), F.col("x_sig").alias("p_sig"), F.array_distinct(F.flatten("spans")).alias("spans")), "spans")
+    spans = materialise(spans.select(F.col("x_id").alias("p_id"), F.col("x_sig").alias("p_sig"), F.flatten("spans").alias("spans")), "spans")
     cut = rows.join(spans, F.col("x_id").eqNullSafe(F.col("p_id")) & (F.col("x_sig") == F.col("p_sig")), "left").select("x_id", "x_text", "spans")
     made = cut.mapInPandas(_remove, f"n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, x_id {kind}")
     return made.select(F.col("x_id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
