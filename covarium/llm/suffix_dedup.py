@@ -156,12 +156,16 @@ def _unequal(raw: np.ndarray, q: np.ndarray, rep: np.ndarray) -> np.ndarray:
     x, y = q[far], rep[far]
     new = np.flatnonzero(np.r_[True, (x[1:] != x[:-1] + 1) | (y[1:] != y[:-1] + 1)])
     length = np.diff(np.r_[new, len(far)])
-    begin = np.r_[0, np.cumsum(length + STEP - 1)]
-    inner = np.arange(begin[-1]) - np.repeat(begin[:-1], length + STEP - 1)
-    odd = raw[np.repeat(x[new], length + STEP - 1) + inner] != raw[np.repeat(y[new], length + STEP - 1) + inner]
-    seen = np.r_[0, np.cumsum(odd)]
-    at = np.arange(len(far)) - np.repeat(new, length) + np.repeat(begin[:-1], length)
-    out[far] = seen[at + STEP] > seen[at]
+    part = np.cumsum(length + STEP - 1) // CHUNK  # runs are laid out some at a time, as periodic texts have a run for each string
+    for lo, hi in zip(*(lambda cut: (cut, [*cut[1:], len(new)]))(np.flatnonzero(np.r_[True, part[1:] != part[:-1]]))):
+        at, n = new[lo:hi], length[lo:hi]
+        begin = np.r_[0, np.cumsum(n + STEP - 1)]
+        inner = np.arange(begin[-1]) - np.repeat(begin[:-1], n + STEP - 1)
+        odd = raw[np.repeat(x[at], n + STEP - 1) + inner] != raw[np.repeat(y[at], n + STEP - 1) + inner]
+        seen = np.r_[0, np.cumsum(odd, dtype=np.int32)]
+        each = np.arange(at[0], at[-1] + n[-1])
+        place = each - np.repeat(at - begin[:-1], n)
+        out[far[each]] = seen[place + STEP] > seen[place]
     return out
 
 
