@@ -81,3 +81,33 @@ def test_chains_of_near_copies(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     left = {r.doc_id for r in near_dedup.keep_one_of_near(docs).collect()}
     assert left == kept_by_brute_force(rows) == {0, 60, 120}
+
+
+def test_every_pair_at_the_threshold(spark):
+    """Pairs of a similarity of exactly 0.8: none may be left to chance."""
+    rng, rows = np.random.default_rng(11), []
+    for k in range(300):
+        words = [f"w{x}" for x in rng.integers(0, 100_000, 184)]
+        rows.append((2 * k, " ".join(words)))
+        for at in rng.choice(17, 4, replace=False):
+            words[10 * at + 7] = f"v{k}-{at}"
+        rows.append((2 * k + 1, " ".join(words)))
+    a, b = sets_of(rows[0][1]), sets_of(rows[1][1])
+    assert 10 * len(a & b) == 8 * len(a | b)
+    left = {r.doc_id for r in near_dedup.keep_one_of_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {2 * k for k in range(300)}
+
+
+def test_large_buckets_lose_no_partner(spark, monkeypatch):
+    """Every text has the same passage; buckets are large, are dealt by blocks, and their links go to far neighbours as well."""
+    monkeypatch.setattr(near_dedup, "BUCKET_ROWS", 4)
+    monkeypatch.setattr(near_dedup, "CELL_ROWS", 16)
+    monkeypatch.setattr(near_dedup, "ROUNDS", 1)
+    rng = np.random.default_rng(12)
+    passage, rows = [f"p{x}" for x in range(70)], []
+    for k in range(240):
+        own = np.random.default_rng(k // 3)
+        rows.append((k, " ".join(passage + [f"w{x}" for x in own.integers(0, 5000, 20 + k // 3 % 9)] + [f"v{x}" for x in rng.integers(0, 9, 3)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id for r in near_dedup.keep_one_of_near(docs).collect()}
+    assert left == kept_by_brute_force(rows) and 60 < len(left) < 240
