@@ -40,6 +40,135 @@ def fit_logistic(train: DataFrame, label: str, vec: str, c: float = 1.0, max_ite
     return model, names, FitAudit(status="PASS" if steps < max_iter else "FAILED", iterations=steps, train_n=n)
 
 
+def _packed(rows: DataFrame, names: list, domains: list, label: str, vec: str, domain: str, space: str) -> DataFrame:
+    """A row per Arrow batch and ``space``: x (vectors and a one), y and domain (places in ``names`` and ``domains``), as bytes."""
+    place = lambda of, c: (F.array_position(F.array(*[F.lit(v) for v in of]), F.col(c)) - 1).alias(c)
+
+    def run(batches):
+        for b in batches:
+            for g, own in b.groupby("p_space"):
+                x = np.stack([np.asarray(v, float) for v in own["p_vec"]])
+                x = np.c_[x, np.ones(len(x))]
+                yield pd.DataFrame({"space": [g], "d": [x.shape[1]], "x": [x.tobytes()], "y": [own[label].to_numpy(np.int64).tobytes()], "domain": [own[domain].to_numpy(np.int64).tobytes()]})
+
+    flat = rows.select(F.col(space).alias("p_space"), F.col(vec).alias("p_vec"), place(names, label), place(domains, domain)).where(F.col(domain) >= 0)
+    return flat.mapInPandas(run, "space string, d int, x binary, y binary, domain binary")
+
+
+def _blocks(b: pd.DataFrame):
+    for r in b.itertuples():
+        yield r.space, np.frombuffer(r.x).reshape(-1, r.d), np.frombuffer(r.y, np.int64), np.frombuffer(r.domain, np.int64)
+
+
+def _losses(blocks: DataFrame, at: dict, absent: dict) -> dict:
+    """For each (space, domain) in ``at``: sum of the losses of the other domains' rows and its gradient, all in one pass."""
+    def run(batches):
+        total = {}
+        for b in batches:
+            for g, x, y, own in _blocks(b):
+                for (space, k), w in at.items():
+                    if space == g:
+                        keep = own != k
+                        xs, ys = x[keep], y[keep]
+                        z = xs @ w + absent[space, k]
+                        z -= z.max(axis=1, keepdims=True)
+                        e = np.exp(z)
+                        q = e.sum(axis=1)
+                        p = e / q[:, None]
+                        loss = float((np.log(q) - z[np.arange(len(ys)), ys]).sum())
+                        p[np.arange(len(ys)), ys] -= 1
+                        had = total.get((space, k), (0.0, 0.0))
+                        total[space, k] = had[0] + loss, had[1] + xs.T @ p
+        yield pd.DataFrame([(g, k, f, np.ascontiguousarray(d).tobytes()) for (g, k), (f, d) in total.items()], columns=["space", "k", "f", "g"])
+
+    out = {m: [0.0, np.zeros_like(w)] for m, w in at.items()}
+    for r in blocks.mapInPandas(run, "space string, k bigint, f double, g binary").toLocalIterator():
+        out[r.space, r.k][0] += r.f
+        out[r.space, r.k][1] += np.frombuffer(r.g).reshape(out[r.space, r.k][1].shape)
+    return out
+
+
+class _Descent:
+    """L-BFGS on one model, whose loss and gradient at ``x`` come from outside; the first metric is the bound (half the Gram matrix) of the Hessian."""
+
+    def __init__(self, gram: np.ndarray, n: int, shape: tuple, c: float, max_iter: int, tol: float):
+        self.n, self.max_iter, self.tol, self.steps, self.done = max(n, 1), max_iter, tol, 0, False
+        self.pull = np.r_[np.full(shape[0] - 1, 1.0 / (c * self.n)), 0.0][:, None]
+        metric = gram / (2 * self.n) + np.diag(self.pull[:, 0])
+        self.metric = np.linalg.pinv(metric, hermitian=True)
+        self.x, self.f, self.pairs, self.way, self.t = np.zeros(shape), None, [], None, 1.0
+
+    @property
+    def at(self) -> np.ndarray:
+        return self.x if self.f is None else self.x + self.t * self.way
+
+    def take(self, loss: float, gradient: np.ndarray) -> None:
+        x = self.at
+        f, g = loss / self.n + 0.5 * float((self.pull * x * x).sum()), gradient / self.n + self.pull * x
+        if self.f is not None:
+            if f > self.f + 1e-4 * self.t * float((self.g * self.way).sum()) and self.t > 1e-9:
+                self.t /= 2
+                return
+            if f > self.f:  # no step is better: at the precision of sums
+                self.done = True
+                return
+            self.steps += 1
+            if float(((x - self.x) * (g - self.g)).sum()) > 0:
+                self.pairs = [*self.pairs[-9:], (x - self.x, g - self.g)]
+        still = self.f is not None and self.f - f <= 1e-14 * abs(f)
+        self.x, self.f, self.g, self.t = x, f, g, 1.0
+        self.done = bool(np.abs(g).max() <= self.tol * max(1.0, abs(f)) or still or self.steps >= self.max_iter)
+        q, back = g.copy(), []
+        for s, y in reversed(self.pairs):
+            back.append(float((s * q).sum() / (s * y).sum()))
+            q -= back[-1] * y
+        q = self.metric @ q
+        for (s, y), a in zip(self.pairs, reversed(back)):
+            q += s * (a - float((y * q).sum() / (s * y).sum()))
+        self.way = -q
+
+
+def fit_leaving_out(rows: DataFrame, names: list, domains: list, label: str, vec: str, domain: str, space: str, c: float = 1.0, max_iter: int = 5000, tol: float = 1e-6) -> tuple[dict, dict]:
+    """The models of ``fit_logistic`` for every ``space`` and every domain left out: weights (a row per entry of ``vec`` and one for the intercept), and FitAudits, by (space, place of the domain).
+
+    A pass over the rows serves a step of all models, so the number of jobs is that of the slowest
+    model's steps.  A class that a model's rows don't have gets no probability.
+    """
+    # every pass reads each block once: no more tasks than can run at once
+    blocks = _packed(rows, names, domains, label, vec, domain, space).coalesce(rows.sparkSession.sparkContext.defaultParallelism).persist()
+    try:
+        def run(batches):
+            for b in batches:
+                for g, x, y, own in _blocks(b):
+                    for k in np.unique(own):
+                        mine = x[own == k]
+                        yield pd.DataFrame({"space": [g], "k": [int(k)], "n": [np.bincount(y[own == k], minlength=len(names)).tolist()], "gram": [(mine.T @ mine).tobytes()]})
+
+        sums = {}
+        for r in blocks.mapInPandas(run, "space string, k bigint, n array<bigint>, gram binary").toLocalIterator():
+            had = sums.setdefault((r.space, r.k), [0, 0.0])
+            gram = np.frombuffer(r.gram)
+            had[0], had[1] = had[0] + np.array(r.n), had[1] + gram.reshape(int(len(gram) ** 0.5), -1)
+        models, absent = {}, {}
+        for g in sorted({g for g, _ in sums}):
+            for k in range(len(domains)):
+                others = [v for (space, j), v in sums.items() if space == g and j != k]
+                n, gram = (sum(v[0] for v in others), sum(v[1] for v in others)) if others else (np.zeros(len(names)), np.zeros_like(next(iter(sums.values()))[1]))
+                models[g, k] = _Descent(gram, int(n.sum()), (len(gram), len(names)), c, max_iter, tol)
+                absent[g, k] = np.where(n > 0, 0.0, -1e30) if n.sum() else np.zeros(len(names))
+        while left := {m: d.at for m, d in models.items() if not d.done}:
+            for m, (f, g) in _losses(blocks, left, absent).items():
+                models[m].take(f, g)
+    finally:
+        blocks.unpersist()
+    audits = {m: FitAudit(status="PASS" if d.steps < max_iter else "FAILED", iterations=d.steps, train_n=d.n) for m, d in models.items()}
+    weights = {}
+    for m, d in models.items():
+        weights[m] = d.x.copy()
+        weights[m][-1] += absent[m]
+    return weights, audits
+
+
 def predict(model, names: list, df: DataFrame, vec: str) -> DataFrame:
     """Adds predicted and probabilities (in the order of ``names``; ties go to the first)."""
     out = model.setFeaturesCol("x_vec").setPredictionCol("x_pred").setProbabilityCol("x_prob").setRawPredictionCol("x_raw").transform(df.withColumn("x_vec", array_to_vector(F.col(vec))))

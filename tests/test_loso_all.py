@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from covarium.operators import centers, protocol
+from covarium.operators import centers, learn, protocol
 
 
 def test_all_geometries_and_mdm(spark):
@@ -20,3 +20,25 @@ def test_all_geometries_and_mdm(spark):
     assert len(mdm) == 3 * 5 * 4 and {k[1:3] for k in mdm} == set(protocol.MDM_SPECS)
     assert all(r.balanced_accuracy > 0.9 for k, r in mdm.items() if k[1] != "RAW")
     assert mdm[1, "AIRM", "riemann", "AGGREGATE"].n == 24
+
+
+def test_all_models_in_common_passes(spark):
+    """The models equal those fitted one by one, in a number of jobs that doesn't grow with the number of subjects."""
+    rng, rows = np.random.default_rng(4), []
+    for i in range(360):
+        y = i % 3
+        rows.append((i % 6 + 1, str(i // 6 % 6), f"t{i}", "abc"[y], (rng.normal(size=4) * [1, 30, 0.1, 1] + [y, 40, 0, 0.3 * (i % 6)]).tolist()))
+    df = spark.createDataFrame(rows, "subject bigint, run string, trial_uid string, class_label string, coords array<double>").coalesce(2).persist()
+    context = spark.sparkContext
+    context.setJobGroup("loso", "loso")
+    try:
+        got = {(r.target, r.split): r for r in protocol.loso(df, "class_label", geometries=("RAW",)).collect()}
+        jobs = len(context.statusTracker().getJobIdsForGroup("loso"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == 6 * 4 and jobs < 80
+    for target in (1, 4):
+        model, names, audit = learn.fit_logistic(df.where(f"subject <> {target}"), "class_label", "coords", tol=1e-10)
+        one = learn.predict(model, names, df.where(f"subject = {target}"), "coords")
+        assert got[target, "ALL"].status == audit["status"] == "PASS"
+        assert got[target, "ALL"].accuracy == one.where("class_label = predicted").count() / one.count()
