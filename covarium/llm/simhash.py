@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covarium.llm.base import materialise, small
+from covarium.llm.base import few, materialise, small
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -199,11 +199,12 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return dealt.select(*cols).mapInPandas(_local_stars(max_bits), "u bigint, v bigint").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(x_node, x_root): each node of ``edges`` (u, v) with one node of its class, the same for the whole class.
 
     Large-star and small-star steps alternate until nothing changes; each step is
-    written, so a lost executor costs no earlier step.
+    written, so a lost executor costs no earlier step.  ``rows``: how many edges there are
+    at most, if that is known.
     """
     def directed(e):
         return e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -211,16 +212,17 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(e):
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    now = materialise(directed(edges), "edges")
+    now = materialise(directed(edges) if rows is None else few(directed(edges), rows), "edges")
     seen = mark(now)
     while seen[0]:
+        n = 2 * seen[0]  # a step makes no more rows than this
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m")), "low")
+        low = materialise(few(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m")), n), "low")
         large = directed(both.join(low, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        large = materialise(large, "large")
-        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k"), "low")
+        large = materialise(few(large, n), "large")
+        low = materialise(few(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k"), n), "low")
         met = large.join(low, F.col("u") == F.col("k"))
-        now = materialise(directed(met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("k").alias("u"), F.col("m").alias("v")))), "edges")
+        now = materialise(few(directed(met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("k").alias("u"), F.col("m").alias("v")))), n), "edges")
         after = mark(now)
         if after == seen:
             break

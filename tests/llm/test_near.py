@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from covarium.llm import near_dedup
+from covarium.llm import base, near_dedup, simhash
 
 
 def sets_of(text):
@@ -111,3 +111,31 @@ def test_large_buckets_lose_no_partner(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     left = {r.doc_id for r in near_dedup.keep_one_of_near(docs).collect()}
     assert left == kept_by_brute_force(rows) and 60 < len(left) < 240
+
+
+def test_small_tables_take_few_files(spark, monkeypatch):
+    """A file costs processes on its executor, so steps of known size don't write one for each shuffle partition."""
+    conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    files = []
+
+    def counted(df, tag):
+        out = base.materialise(df, tag)
+        files.append((tag, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialise", counted)
+    monkeypatch.setattr(simhash, "materialise", counted)
+    rng, rows = np.random.default_rng(15), []
+    for k in range(120):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 60)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, "more"]))]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        left = {r.doc_id for r in near_dedup.keep_one_of_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert left == {2 * k for k in range(120)}
+    assert all(n == 1 for tag, n in files if tag in ("wanted", "sets", "similar", "edges", "low", "large", "labels")), files
