@@ -298,6 +298,30 @@ def test_toxicity(spark):
     assert toxicity.scores(data, nothing, c).where("predicted = 1").count() == 0
 
 
+def test_toxicity_learns_from_all_rows(spark):
+    """Kinds of words that few rows have, more rows than the driver fits, and marks that only long texts have."""
+    rnd = random.Random(9)
+    words = [f"{rnd.randrange(1 << 30):x}" for _ in range(300)]
+    kinds = [f"{rnd.randrange(1 << 30):x}vile" for _ in range(40)]
+    rows, labels = [], []
+    for i in range(1600):
+        w = [rnd.choice(words) for _ in range(rnd.randint(5, 30))]
+        if i % 4 == 0:
+            w.insert(rnd.randrange(len(w)), kinds[i // 4 % 40])
+        rows.append((i, " ".join(w), "en"))
+        labels.append((i, int(i % 4 == 0)))
+    data = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model, cuts = toxicity.train(data, spark.createDataFrame(labels, "doc_id bigint, toxic int"), train_rows=150)
+    held = [r for r in toxicity.scores(data, model, cuts).collect() if r.held_out]
+    assert np.mean([r.predicted for r in held if r.doc_id % 4 == 0]) > 0.9 and np.mean([r.predicted for r in held if r.doc_id % 4]) < 0.05
+    assert set(cuts) == {None, "en"}
+
+    filler = " ".join(rnd.choice(words) for _ in range(4000))
+    some = [(i, f"{filler} {kinds[i % 2]}" if i % 2 else filler[: rnd.randint(20_500, 30_000)], "en") for i in range(80)]
+    model, _ = toxicity.train(spark.createDataFrame(some, data.schema), spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id bigint, toxic int"))
+    assert model.out.any()  # only long texts are labelled: something was learnt from them
+
+
 def test_toxicity_long_text(monkeypatch):
     model = toxicity.TextCnn()
     t = b" ".join(b"w%d" % (i * i % 97) for i in range(5000))
