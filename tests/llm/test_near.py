@@ -139,3 +139,13 @@ def test_small_tables_take_few_files(spark, monkeypatch):
             spark.conf.set(k, v)
     assert left == {2 * k for k in range(120)}
     assert all(n == 1 for tag, n in files if tag in ("wanted", "sets", "similar", "edges", "low", "large", "labels")), files
+
+
+def test_rows_equal_in_id_and_text(spark):
+    """One row of a class stays, also where the one of the smallest id is there several times; others keep their rows."""
+    words = [f"w{x}" for x in range(60)]
+    near, alone = " ".join(words), " ".join(reversed(words))
+    rows = [(3, near)] * 2 + [(2, f"{near} more")] * 3 + [(None, near)] * 2 + [(7, alone), (7, f"{near} and much " + " ".join(f"v{x}" for x in range(60)))] + [(8, "so"), (8, "so"), (None, "no"), (None, "no")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [tuple(r) for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()]
+    assert sorted(left, key=str) == sorted({rows[2], rows[7], rows[8], (8, "so"), (None, "no")}, key=str)
