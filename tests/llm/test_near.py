@@ -1,5 +1,8 @@
 """The pipeline's near-dedup stage against brute-force Jaccard similarity of five-word shingles."""
 
+import tracemalloc
+from pathlib import Path
+
 import numpy as np
 
 import corpus_pipeline
@@ -141,6 +144,35 @@ def test_small_tables_take_few_files(spark, monkeypatch):
     assert all(n == 1 for tag, n in files if tag in ("wanted", "sets", "similar", "edges", "low", "large", "labels")), files
 
 
+def test_steps_hold_little(spark, monkeypatch, tmp_path):
+    """Tables of a step have no checksum files, each of which costs a process as large as its executor; texts go to Python in small batches."""
+    monkeypatch.setattr(base, "TEXT_ROWS", 7)
+    before, sizes = spark.conf.get(base.ARROW_ROWS), spark.createDataFrame([(i, "a text") for i in range(60)], "doc_id long, text string").coalesce(1)
+    sizes = sizes.mapInPandas(lambda batches: (b.assign(doc_id=len(b))[:1] for b in batches), "doc_id long, text string")
+    with base.text_batches(spark):
+        out = base.materialise(sizes, "few_texts")
+    assert spark.conf.get(base.ARROW_ROWS) == before
+    assert sum(r.doc_id for r in out.collect()) == 60 and max(r.doc_id for r in out.collect()) <= 7
+    folder = Path(out.inputFiles()[0].removeprefix("file://")).parent
+    assert list(folder.iterdir()) and not [f for f in folder.iterdir() if f.suffix == ".crc"]
+
+
+def test_repeated_hashes():
+    """Counted without the copies that np.unique makes of all hashes: a stretch takes half of its own size besides."""
+    rng = np.random.default_rng(16)
+    for n in (0, 1, 2, 3, 50, 4000):
+        hashes = rng.integers(0, max(1, n // 3), n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        key, times = np.unique(hashes, return_counts=True)
+        found = near_dedup.repeated(hashes.copy())
+        assert [x.tolist() for x in found] == [key[times >= near_dedup.LEAST].tolist(), times[times >= near_dedup.LEAST].tolist()]
+    hashes = rng.integers(0, 1 << 63, 1_000_000).astype(np.uint64)
+    tracemalloc.start()
+    near_dedup.repeated(hashes)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < hashes.nbytes / 2
+
+
 def test_rows_equal_in_id_and_text(spark):
     """One row of a class stays, also where the one of the smallest id is there several times; others keep their rows."""
     words = [f"w{x}" for x in range(60)]
